@@ -11,6 +11,9 @@ and NULL cells.
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLE_INPUTS = ("orders", "lineitem", "customer", "supplier", "nation", "events")
@@ -34,14 +37,12 @@ def _condition(m: str, g: str, h: str) -> str:
         ELSE CASE WHEN {h} % 5 = 0 THEN NULL ELSE '0' END END"""
 
 
-def _number(key: str) -> str:
-    """Thirty-character parcel number as a function of an integer key."""
-    g = f"CAST(floor(({key}) / 12) AS BIGINT)"
-    m = f"(({key}) % 12)"
-    h = f"({_hash(key)})"
+def _number(p: str = "") -> str:
+    """Thirty-character parcel number from the columns <p>k, <p>g, <p>m, <p>h."""
+    k, g, m, h = f"{p}k", f"{p}g", f"{p}m", f"{p}h"
     suffix = f"""CASE WHEN {h} % 17 = 0 THEN '123456789'
         WHEN {m} = 1 THEN '900000000'
-        WHEN {m} IN (2, 3) THEN '901' || lpad(CAST(1 + ({key}) % 3 AS STRING), 2, '0') || lpad(CAST({m} AS STRING), 4, '0')
+        WHEN {m} IN (2, 3) THEN '901' || lpad(CAST(1 + {k} % 3 AS STRING), 2, '0') || lpad(CAST({m} AS STRING), 4, '0')
         WHEN {m} = 4 THEN '800000000'
         WHEN {m} IN (5, 6) THEN '80000' || lpad(CAST({m} AS STRING), 4, '0')
         WHEN {m} = 7 AND {g} % 2 = 1 THEN '700000000'
@@ -59,11 +60,14 @@ def _number(key: str) -> str:
         ELSE substr({whole}, 1, CASE WHEN {h} % 43 = 0 THEN 25 ELSE 30 END) END"""
 
 
+def _key_columns(key: str, p: str = "") -> str:
+    return (
+        f"{key} AS {p}k, CAST(floor({key} / 12) AS BIGINT) AS {p}g, {key} % 12 AS {p}m, {_hash(key)} AS {p}h"
+    )
+
+
 _ORDER_BASE = f"""
-    SELECT o_orderkey AS k,
-           CAST(floor(o_orderkey / 12) AS BIGINT) AS g,
-           o_orderkey % 12 AS m,
-           {_hash('o_orderkey')} AS h,
+    SELECT {_key_columns('o_orderkey')},
            o_custkey AS cust,
            o_totalprice AS price,
            o_orderpriority AS prio,
@@ -91,13 +95,13 @@ _PRIVATE = f"CASE WHEN {_UNIT} THEN CASE WHEN h % 14 = 0 THEN NULL WHEN h % 14 =
 
 PREDIO = f"""
 SELECT k AS T_Id,
-       {_number('k')} AS numero_predial_nacional,
+       {_number()} AS numero_predial_nacional,
        {_condition('m', 'g', 'h')} AS condicion_predio,
        CASE WHEN h % 3 = 0 THEN NULL WHEN h % 59 = 0 THEN '25001' WHEN h % 61 = 0 THEN '11506' ELSE '25506' END AS departamento_municipio,
        CASE WHEN {_UNIT} AND h % 13 = 0 THEN NULL
             WHEN {_UNIT} AND h % 61 = 0 THEN '   '
             WHEN {_UNIT} AND h % 67 = 0 THEN '255069999999999999999999999999'
-            WHEN padre IS NOT NULL THEN {_number('padre')} ELSE NULL END AS numero_predial_matriz,
+            WHEN padre IS NOT NULL THEN {_number('p')} ELSE NULL END AS numero_predial_matriz,
        CASE WHEN h % 5 = 0 THEN NULL WHEN h % 71 = 0 THEN '  ' WHEN h % 73 = 0 THEN '50N-0'
             WHEN h % 6 = 1 THEN '50N-' || CAST(cust AS STRING) ELSE '50N-9' || CAST(k AS STRING) END AS folio_matricula,
        CASE WHEN h % 4 = 0 THEN NULL WHEN h % 79 = 0 THEN ' ' ELSE '50N' END AS codigo_orip,
@@ -130,9 +134,9 @@ SELECT k AS T_Id,
             ELSE CASE (k * 17 + 3) % 7 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '3' ELSE '4' END
             END AS tipo_predio,
        CASE WHEN h % 10 = 3 THEN NULL ELSE dia END AS fecha_visita_predio
-FROM (SELECT *, CASE WHEN {_UNIT} AND h % 11 = 0 THEN k - m WHEN m IN (2, 3) THEN k - m + 1 WHEN m IN (5, 6) THEN k - m + 4
+FROM (SELECT *, {_key_columns('padre', 'p')} FROM (SELECT *, CASE WHEN {_UNIT} AND h % 11 = 0 THEN k - m WHEN m IN (2, 3) THEN k - m + 1 WHEN m IN (5, 6) THEN k - m + 4
                      WHEN m = 7 AND h % 11 = 0 THEN k - m + 1 ELSE NULL END AS padre
-      FROM ({_ORDER_BASE}) base) parcels"""
+      FROM ({_ORDER_BASE}) base) parents) parcels"""
 
 TERRENO = f"""
 SELECT k * 10 + 1 AS T_Id,
@@ -241,14 +245,15 @@ SELECT e AS T_Id,
        CASE WHEN t % 109 = 0 THEN NULL WHEN t % 8 = 0 THEN '0' WHEN t % 8 = 1 THEN '6' WHEN t % 8 = 2 THEN '2' WHEN t % 8 = 3 THEN '5'
             WHEN t % 16 = 4 THEN '13' WHEN t % 16 = 12 THEN '4' ELSE CAST(t % 31 AS STRING) END AS tipo_novedad,
        CASE WHEN t % 13 = 0 THEN NULL
-            ELSE substr({_number('otro')}, 1, CASE WHEN t % 19 = 0 THEN 20 ELSE 30 END) END AS numero_predial
-FROM (SELECT e, t, q * 4 + q % 4 AS fk, q * 4 + q % 4 + CASE WHEN t % 5 = 0 THEN 12 ELSE 0 END AS otro
-      FROM (SELECT event_id AS e, {_hash('event_id')} AS t, CAST(floor(event_id / 3) AS BIGINT) AS q FROM {{events}}) thirds) base"""
+            ELSE substr({_number()}, 1, CASE WHEN t % 19 = 0 THEN 20 ELSE 30 END) END AS numero_predial
+FROM (SELECT e, t, fk, {_key_columns('otro')} FROM (
+      SELECT e, t, q * 4 + q % 4 AS fk, q * 4 + q % 4 + CASE WHEN t % 5 = 0 THEN 12 ELSE 0 END AS otro
+      FROM (SELECT event_id AS e, {_hash('event_id')} AS t, CAST(floor(event_id / 3) AS BIGINT) AS q FROM {{events}}) thirds) pairs) base"""
 
 # The previous registry: parcels opened before 1998 plus numbers since retired.
 REGISTRO1 = f"""
 SELECT DISTINCT numero_predial FROM (
-    SELECT {_number('k')} AS numero_predial FROM ({_ORDER_BASE}) old WHERE dia < '1998-01-01'
+    SELECT {_number()} AS numero_predial FROM ({_ORDER_BASE}) old WHERE dia < '1998-01-01'
     UNION ALL
     SELECT '25506' || lpad(CAST(c_custkey AS STRING), 8, '9') || '00070007000000000' FROM {{customer}}
 ) registry WHERE numero_predial IS NOT NULL"""
@@ -306,6 +311,23 @@ def sample_sql(dialect: str) -> dict[str, str]:
     }
 
 
+def sample_location(spark: SparkSession, sf_dir: str) -> str:
+    """Folder for the projected tables: under spark.checkpoint.dir, else a local one for tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="linderos-")
+    digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    return f"{shared.rstrip('/')}/linderos-{spark.sparkContext.applicationId}-{digest}"
+
+
+def write_sample(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
+    """Project the sample once into Parquet tables that `load_tables` reads."""
+    location = location or sample_location(spark, sf_dir)
+    for name, df in sample_frames(spark, sf_dir).items():
+        df.write.mode("overwrite").parquet(f"{location}/{name}")
+    return location
+
+
 def sample_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The cadastral tables as lazy DataFrames over the sample parquet files."""
     inputs = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SAMPLE_INPUTS}
