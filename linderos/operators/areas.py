@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import lead_int
+from ..functions.text import lead_int, one_of
 from ..functions.tolerance import out_of_tolerance
 from .patterns import piece
 from .relations import child_stats, count_where, with_child_stats
@@ -74,7 +74,7 @@ def matrix_rollups(parcels: DataFrame, terrain: DataFrame, built: DataFrame, uni
     children = parcels.filter(F.col("numero_predial_matriz").isNotNull())
     children = with_child_stats(children, "predio_id", terrain)
     children = with_child_stats(children, "predio_id", built)
-    unit = F.col("condicion_predio").isin(*units)
+    unit = one_of("condicion_predio", *units)
     return child_stats(
         children, "numero_predial_matriz",
         n_hijas=F.count(F.lit(1)),

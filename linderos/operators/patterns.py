@@ -12,7 +12,7 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import col
+from ..functions.text import col, one_of
 
 
 def piece(c: Column | str, position: int, length: int) -> Column:
@@ -49,7 +49,7 @@ def require(when: Column, *breaks: Column) -> Column:
 
 def domain_by_type(type_column: str, type_code: str, value_column: str, allowed: Iterable[str]) -> Column:
     """Value outside the codes allowed for its type."""
-    return (F.col(type_column) == type_code) & ~F.col(value_column).isin(*allowed)
+    return (F.col(type_column) == type_code) & ~one_of(value_column, *allowed)
 
 
 def text_matches(c: Column | str, regex: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import filled
+from ..functions.text import filled, one_of
 from .skew import COLD, HotKeys, join_many
 
 
@@ -78,7 +78,7 @@ def event_conflict(events: DataFrame, keys: list[str], row_id: str, kind: str, *
     """Per key (NULL keys included): how many events fall in each set and the smallest id among them."""
     figures = []
     for name, codes in sets.items():
-        member = F.col(kind).isin(*codes)
+        member = one_of(kind, *codes)
         figures += [count_where(member).alias(f"n_{name}"), F.min(F.when(member, F.col(row_id))).alias(f"id_{name}")]
     return events.groupBy(*keys).agg(*figures)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..codes import PH_UNITS, PH_USES, USES_BY_TYPE
-from ..functions.text import int_text, labelled, or_null, real_text, rounded_text
+from ..functions.text import int_text, labelled, one_of, or_null, real_text, rounded_text
 from ..operators.areas import dominant_share, reconcile
 from ..operators.patterns import domain_by_type, require
 from ..texts import DOMINANT_TYPES, USE_DOMAINS
@@ -15,7 +15,7 @@ category = Category("fisicas")
 
 
 def in_ph() -> Column:
-    return F.col("condicion_predio").isin(*PH_UNITS)
+    return one_of("condicion_predio", *PH_UNITS)
 
 
 def on_traits(when: Column, actual: Column, mensaje=None, esperado=None) -> Check:
@@ -32,13 +32,13 @@ def _():
 @category.rule("RF-02", "construccion")
 def _():
     use = F.col("uso_unidad_construccion")
-    return on_traits(require(in_ph(), ~use.isin(*PH_USES)), use)
+    return on_traits(require(in_ph(), ~one_of("uso_unidad_construccion", *PH_USES)), use)
 
 
 @category.rule("RF-03", "construccion")
 def _():
     use = F.col("uso_unidad_construccion")
-    return on_traits(require(~in_ph(), use.isin(*PH_USES)), use)
+    return on_traits(require(~in_ph(), one_of("uso_unidad_construccion", *PH_USES)), use)
 
 
 @category.rule("RF-04", "unidad_predio")
@@ -89,7 +89,7 @@ def dominance_rule(rule_id: str) -> None:
         area, total, count = F.col(f"area_tipo_{kind}"), F.col("area_construcciones_bruta"), F.col(f"n_tipo_{kind}")
         text = F.when(count == 0, message(rule_id, 0)).otherwise(message(rule_id, 1))
         return on_parcel(
-            require(F.col("destinacion_economica").isin(*uses), dominant_share(area, total, count)),
+            require(one_of("destinacion_economica", *uses), dominant_share(area, total, count)),
             labelled((f"{name}=", rounded_text(area, 2)), (" total=", rounded_text(total, 2))),
             text,
         )

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import Words
 from ..texts import TEXTS
 
 PARCELS = "cca_predio"
@@ -25,6 +26,10 @@ SOURCES = "cca_fuenteadministrativa"
 EVENTS = "cca_estructuranovedadnumeropredial"
 
 
+# A literal, a text column, or pieces of both.
+Said = str | Column | Words
+
+
 @dataclass(frozen=True)
 class Check:
     """Row check: where it fails and what the violation says."""
@@ -32,10 +37,10 @@ class Check:
     when: Column
     tabla: str
     t_id: Column
-    clave: Column
-    actual: Column
-    mensaje: Column | None = None
-    esperado: Column | None = None
+    clave: Said
+    actual: Said
+    mensaje: Said | None = None
+    esperado: Said | None = None
 
 
 @dataclass(frozen=True)
@@ -80,8 +85,8 @@ class Category:
                 found = check()
                 return replace(
                     found,
-                    mensaje=F.lit(text.mensaje) if found.mensaje is None else found.mensaje,
-                    esperado=F.lit(text.esperado) if found.esperado is None else found.esperado,
+                    mensaje=text.mensaje if found.mensaje is None else found.mensaje,
+                    esperado=text.esperado if found.esperado is None else found.esperado,
                 )
 
             part = Part(frame, filled, frozenset(uses))
@@ -98,10 +103,6 @@ def message(rule_id: str, which: int = 0) -> Column:
     return F.lit(TEXTS[rule_id].mensajes[which])
 
 
-def on_parcel(when: Column, actual, mensaje=None, esperado=None) -> Check:
+def on_parcel(when: Column, actual: Said, mensaje: Said | None = None, esperado: Said | None = None) -> Check:
     """Violation reported on the parcel itself."""
-    return Check(when, PARCELS, F.col("predio_id"), F.col("numero_predial_nacional"), as_column(actual), mensaje, esperado)
-
-
-def as_column(value) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
+    return Check(when, PARCELS, F.col("predio_id"), F.col("numero_predial_nacional"), actual, mensaje, esperado)

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JIT refuses methods above 8000 bytes; past that, let Spark generate split code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -31,6 +33,8 @@ def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSe
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
+        # Plans of the whole catalogue are long; call sites in error messages cost more than the plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | extra
     for name, value in settings.items():
         builder = builder.config(name, value)

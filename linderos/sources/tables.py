@@ -64,6 +64,7 @@ class Cadastre:
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame]):
         self.spark = spark
         self.frames = {name: conform(df, name) for name, df in frames.items() if name in TABLES}
+        self._short: dict[str, DataFrame] = {}
         self._hot: dict[str, dict[str, HotKeys]] = {}
 
     def has(self, short: str) -> bool:
@@ -73,8 +74,9 @@ class Cadastre:
         table, names = _SHORT[short]
         if table not in self.frames:
             raise MissingTable(table)
-        df = self.frames[table]
-        return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+        if short not in self._short:
+            self._short[short] = self.frames[table].withColumnsRenamed(names)
+        return self._short[short]
 
     def hot(self, short: str, column: str) -> HotKeys:
         """Hot keys of a column; one pass per table covers all of its key columns."""
