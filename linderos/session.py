@@ -33,6 +33,7 @@ def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSe
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         # Plans of the whole catalogue are long; call sites in error messages cost more than the plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | extra
