@@ -34,6 +34,8 @@ def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSe
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # A full run generates some 300 classes; the default of 100 would recompile them every run.
+        "spark.sql.codegen.cache.maxEntries": "4000",
         # Plans of the whole catalogue are long; call sites in error messages cost more than the plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | extra
