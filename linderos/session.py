@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Merge shuffle partitions up to the advisory size; a full run has many stages side by side.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +35,8 @@ def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSe
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": str(n),
         "spark.ui.enabled": "false",
+        # Sized for sample data; a cluster keeps its own.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
         "spark.ui.showConsoleProgress": "false",
         # A full run generates some 300 classes; the default of 100 would recompile them every run.
         "spark.sql.codegen.cache.maxEntries": "4000",

@@ -323,11 +323,7 @@ def sample_location(spark: SparkSession, sf_dir: str) -> str:
 def write_sample(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
     """Project the sample once into Parquet tables that `load_tables` reads."""
     location = location or sample_location(spark, sf_dir)
-    cores = spark.sparkContext.defaultParallelism
     for name, df in sample_frames(spark, sf_dir).items():
-        # A small sample file is one row group, hence one task; spread it over the cores.
-        if len(df.inputFiles()) < cores:
-            df = df.repartition(cores)
         df.write.mode("overwrite").parquet(f"{location}/{name}")
     return location
 
