@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 R1_VIEW = "_r1_predios"
 
 # Characters a registry number is stripped of at both ends (all whitespace, not only spaces).
-_WHITESPACE = r"[\s\x1c-\x1f\x85   -     　]"
+_WHITESPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class R1Error(ValueError):
