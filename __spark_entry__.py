@@ -82,6 +82,15 @@ def r1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.rows.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("numero_predial").alias("distintos"))
 
 
+def text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-text operators, where that subpackage is installed."""
+    try:
+        from linderos.llm.queries import ORACLES, QUERIES
+    except ImportError:
+        return {}, {}
+    return QUERIES, ORACLES
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: violations per rule over the whole catalogue."""
     return by_rule(spark, SMOKE)
@@ -98,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_r1": load_r1,
         "r1_counts": r1_counts,
     }
-    return found
+    return found | text_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -112,4 +121,4 @@ def oracle_sql() -> dict[str, str]:
         "load_r1": rules_sql.load_r1_sql(),
         "r1_counts": rules_sql.r1_counts_sql(),
     }
-    return found
+    return found | text_queries()[1]
