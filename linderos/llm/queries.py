@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linderos.llm import chat, decontaminate, oracle, secrets, token_file
+from linderos.llm import chat, decontaminate, near, oracle, quality, secrets, token_file
 from linderos.llm.common import read_table, ship_package
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -26,6 +26,13 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(given.unionAll(extra)))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    scored = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside occurrences of benchmark windows, and whose windows they are."""
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -71,7 +78,15 @@ def shipped(query: Query) -> Query:
     return run
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and number of links of each document."""
+    return near.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: shipped(f) for f in (op1_chat_formatting, op3_benchmark_decontamination, op6_secret_scans, op9_token_id_output)
+    f.__name__: shipped(f) for f in (
+        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op6_secret_scans, op9_token_id_output,
+        op10_ngram_jaccard_join,
+    )
 }
 ORACLES = oracle.ORACLES
