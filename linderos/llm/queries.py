@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linderos.llm import chat, decontaminate, near, oracle, quality, secrets, token_file
+from linderos.llm import chat, decontaminate, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
 from linderos.llm.common import read_table, ship_package
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -45,6 +45,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     ).drop("copy")
 
 
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded into pieces and decoded again."""
+    return sentencepiece.round_trips(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in each document: base kinds, and weak parts linked to complementary ones."""
     found = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
@@ -57,6 +62,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in the binary format, read back."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,8 +95,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f) for f in (
-        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op6_secret_scans, op9_token_id_output,
-        op10_ngram_jaccard_join,
+        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op5_sentencepiece_codec,
+        op6_secret_scans, op7_token_counts,
+        op9_token_id_output, op10_ngram_jaccard_join,
     )
 }
 ORACLES = oracle.ORACLES
