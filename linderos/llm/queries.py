@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linderos.llm import chat, decontaminate, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
+from linderos.llm import ann, chat, decontaminate, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
 from linderos.llm.common import read_table, ship_package
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -45,6 +45,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     ).drop("copy")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded into pieces and decoded again."""
     return sentencepiece.round_trips(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -95,7 +100,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f) for f in (
-        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op5_sentencepiece_codec,
+        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_nearest_neighbours, op5_sentencepiece_codec,
         op6_secret_scans, op7_token_counts,
         op9_token_id_output, op10_ngram_jaccard_join,
     )
