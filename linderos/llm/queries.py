@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linderos.llm import ann, chat, decontaminate, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
+from linderos.llm import ann, chat, decontaminate, license_scan, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
 from linderos.llm.common import read_table, ship_package
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +72,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families found in the paragraphs of each document."""
+    found = license_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["family"], s["start"], s["end"]))
+    families = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["family"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_licenses"), "n_unconfirmed",
+        F.array_join(families, ",").alias("families"), F.array_join(shown, ",").alias("spans"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in the binary format, read back."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,7 +111,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f) for f in (
         op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_nearest_neighbours, op5_sentencepiece_codec,
-        op6_secret_scans, op7_token_counts,
+        op6_secret_scans, op7_token_counts, op8_license_scans,
         op9_token_id_output, op10_ngram_jaccard_join,
     )
 }

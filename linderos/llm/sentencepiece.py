@@ -314,13 +314,16 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids of every row."""
+    """doc_id and ids of every row; ids that do not decode to their text fail the job."""
     pieces = send_pieces(docs.sparkSession, path)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _in_slices(batches):
-            ids = codec(pieces).encode(pdf["text"].to_list())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(i, dtype="<i4") for i in ids]})
+            worker = codec(pieces)
+            ids = [np.frombuffer(raw, dtype="<i4") for raw in worker.encode(pdf["text"].to_list())]
+            if any(worker.decode(i) != text for i, text in zip(ids, pdf["text"])):
+                raise ValueError("a text did not survive encoding and decoding")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
 
     return _source(docs).mapInPandas(encode, ENCODED)
 
