@@ -48,7 +48,7 @@ END_ID = 0
 DICT_BYTES = 112_640
 DICT_SAMPLE = 1_000
 DICT_SAMPLE_CHARS = 8_192
-LEVEL = 3
+LEVEL = 1
 BLOCK_TOKENS = 1 << 20
 CACHE_PIECES = 1_500_000
 ASKED_AT_ONCE = 4_000
@@ -63,7 +63,6 @@ BLOCK_SCHEMA = StructType([
 ])
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 
 
 class PieceEncoder:
@@ -74,42 +73,52 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.inner: dict[str, bytes] = {}  # pieces behind a blank
+        self.pieces: dict[str, bytes] = {}  # a piece between two blanks, encoded with the blank before it
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        for i in range(0, len(pieces), ASKED_AT_ONCE):
-            asked = pieces[i:i + ASKED_AT_ONCE]
-            known.update(zip(asked, self._whole([lead + p for p in asked])))
+    def _learn(self, pieces: set[str]) -> None:
+        asked = list(pieces)
+        for i in range(0, len(asked), ASKED_AT_ONCE):
+            some = asked[i:i + ASKED_AT_ONCE]
+            self.pieces.update(zip(some, self._whole([" " + p for p in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.first) + len(self.inner) > CACHE_PIECES:
-            self.first.clear()
-            self.inner.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str] | None] = [None] * len(texts)
-        first: set[str] = set()
-        inner: set[str] = set()
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                out[i] = self._whole([text])[0]
-            elif text:
-                cut[i] = pieces = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-                first.add(pieces[0])
-                inner.update(pieces[1:])
-            else:
-                out[i] = b""
-        self._learn(self.first, [p for p in first if p not in self.first], "")
-        self._learn(self.inner, [p for p in inner if p not in self.inner], " ")
-        get = self.inner.__getitem__
-        for i, pieces in enumerate(cut):
-            if pieces is not None:
-                out[i] = self.first[pieces[0]] + b"".join(map(get, pieces[1:]))
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        out: list[bytes] = [b""] * len(texts)
+        alone = [i for i, text in enumerate(texts) if any(s in text for s in self.specials)]
+        for i, ids in zip(alone, self._whole([texts[i] for i in alone])):
+            out[i] = ids
+        usual = [i for i, text in enumerate(texts) if text and not any(s in text for s in self.specials)]
+        cut, found, new = {}, {}, set()
+        for i in usual:
+            pieces = texts[i].split(" ")
+            ids = list(map(self.pieces.get, pieces))
+            ids[0] = b""  # the first piece has no blank before it
+            if None in ids:
+                missing = {p for p, known in zip(pieces, ids) if known is None}
+                if any(not p or p[0].isspace() or p[-1].isspace() for p in (*missing, pieces[0])):
+                    # White space beside a blank: cut between two other characters only.  Such pieces are never learnt.
+                    pieces = _CUT.split(texts[i])
+                    missing = set(pieces[1:])
+                    ids = [b"", *map(self.pieces.get, pieces[1:])]
+                new |= {p for p in missing if p not in self.pieces}
+            elif pieces[0] == "" or pieces[0][-1].isspace():
+                pieces = _CUT.split(texts[i])
+                new.update(p for p in pieces[1:] if p not in self.pieces)
+                ids = [b"", *map(self.pieces.get, pieces[1:])]
+            cut[i], found[i] = pieces, ids
+        self._learn(new)
+        get = self.pieces.__getitem__
+        for i, first in zip(usual, self._whole([cut[i][0] for i in usual])):
+            ids = found[i]
+            if None in ids:
+                ids = [get(p) if known is None else known for p, known in zip(cut[i], ids)]
+            out[i] = first + b"".join(ids)
         return out
 
 
