@@ -85,10 +85,12 @@ def r1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the training-text operators, where that subpackage is installed."""
     try:
+        import corpus_pipeline
         from linderos.llm.queries import ORACLES, QUERIES
     except ImportError:
         return {}, {}
-    return QUERIES, ORACLES
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | sql
 
 
 def entry(spark: SparkSession) -> DataFrame:
