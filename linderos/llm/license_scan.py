@@ -9,7 +9,7 @@ notice inside long text is not diluted.  The classes are the families of TEMPLAT
   words in random order and paragraphs of the corpus as `unknown` (those of SAMPLE_DOCS documents at most, SAMPLE_LINES
   of them at most; documented bounds).  Multinomial logistic regression with L2 penalty.
 * Calibration: every fifth example is held out; one temperature and one offset of `unknown` minimise its log loss there.
-* A paragraph is taken for a family when its calibrated probability is LEAST or more, and it is confirmed when it shares
+* A paragraph is a candidate when its calibrated probability of a family is LEAST or more, and confirmed when it shares
   CONFIRM of a template's trigrams, or a template holds CONFIRM of the paragraph's.
 
 Whole texts of all documents are classified.  Defined results: null text counts as empty; repeated rows are reported
@@ -87,7 +87,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 
-WINDOW = 40
+WINDOW = 24
 BUCKETS = 1 << 16
 ORDERS = 3
 VARIANTS = 30
@@ -96,7 +96,7 @@ SAMPLE_LINES = 2_000
 EPOCHS = 50
 STEP = 8.0
 PENALTY = 1e-5
-LEAST = 0.5
+LEAST = 0.1
 CONFIRM = 0.6
 SEED = 5
 

@@ -1,0 +1,42 @@
+import corpus_pipeline
+from linderos.llm import decontaminate, near, quality, secrets
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_against_their_operators_on_each_input(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    table = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
+    before = None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        kept = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= ids
+        if name == "quality_classifier":
+            scored = {r["doc_id"]: r["score"] for r in quality.classify(docs, table("labels")).collect()}
+            assert set(kept) == {i for i, s in scored.items() if s >= quality.ACCEPT} and len(kept) < len(ids)
+        elif name == "ngram_jaccard_join":
+            assert set(kept) == {r["class_id"] for r in near.near_groups(docs).collect()} and len(kept) < len(ids)
+        elif name == "benchmark_decontamination":
+            hit = {r["doc_id"] for r in decontaminate.contamination(docs, table("benchmark")).where("n_hit > 0").collect()}
+            assert set(kept) == ids - hit
+        else:
+            assert set(kept) == ids
+        if name == "secret_scans":
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert all(r["text"] == secrets.redact(texts[r["doc_id"]]) for r in out.collect())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        before, docs = docs, corpus_pipeline_written(spark, out)
+    assert before is not None and docs.columns == ["doc_id", "ids"]
+
+
+def corpus_pipeline_written(spark, df):
+    from linderos.llm.common import written
+
+    return written(df, "stage")
+
+
+def test_run_gives_what_the_stages_give(spark):
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
