@@ -12,25 +12,17 @@ from linderos.plans.frames import FRAMES
 from linderos.plans.run import summary_by_rule, summary_by_severity, violations
 from linderos.rules import catalogue
 from linderos.schema import FINDING
-from linderos.session import configure
 from linderos.sources.r1 import registry_numbers
-from linderos.sources.sample import write_sample
-from linderos.sources.tables import Cadastre, load_tables
+from linderos.sources.sample import sample_frames
+from linderos.sources.tables import Cadastre
 from oracle import rules_sql
 
 SMOKE = "/root/testdata/sf0.001"
 NO_TIME = ""
 
-_loaded: dict[tuple[str, str], Cadastre] = {}
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Cadastre:
-    """The cadastral tables of a sample directory, projected to Parquet once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _loaded:
-        configure(spark)
-        _loaded[key] = load_tables(spark, write_sample(spark, key[1]))
-    return _loaded[key]
+    """The cadastral tables of a sample directory, projected lazily: a query reads only what it needs, nothing is written."""
+    return Cadastre(spark, sample_frames(spark, sf_dir))
 
 
 def key_of(rule_id: str) -> str:

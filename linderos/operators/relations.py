@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import filled, one_of
-from .skew import COLD, HotKeys, join_many
+from .skew import join_many
 
 
 def count_where(condition: Column) -> Column:
@@ -13,7 +13,7 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, True))
 
 
-def unique(df: DataFrame, key: str, row_id: str, ignore_blank: bool = False, hot: HotKeys = COLD) -> DataFrame:
+def unique(df: DataFrame, key: str, ignore_blank: bool = False) -> DataFrame:
     """Rows whose key occurs more than once.
 
     Keys are counted with map-side partial sums and joined back, so a frequent
@@ -21,7 +21,7 @@ def unique(df: DataFrame, key: str, row_id: str, ignore_blank: bool = False, hot
     """
     keyed = df.filter(filled(key)) if ignore_blank else df.filter(F.col(key).isNotNull())
     repeated = keyed.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-    return join_many(keyed, repeated, (key, "_key"), "left_semi", hot, row_id)
+    return join_many(keyed, repeated, (key, "_key"), "left_semi")
 
 
 def child_stats(child: DataFrame, foreign: str, **aggregates: Column) -> DataFrame:
@@ -44,19 +44,15 @@ def child_count(parent: DataFrame, key: str, child: DataFrame, foreign: str, nam
     return with_child_stats(parent, key, stats).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def references(
-    child: DataFrame, foreign: str, parent: DataFrame, key: str, flag: str, hot: HotKeys = COLD, row_id: str | None = None
-) -> DataFrame:
+def references(child: DataFrame, foreign: str, parent: DataFrame, key: str, flag: str) -> DataFrame:
     """Children with their parent's columns; `flag` is true where the parent exists, else NULL."""
-    return join_many(child, parent.withColumn(flag, F.lit(True)), (foreign, key), "left", hot, row_id)
+    return join_many(child, parent.withColumn(flag, F.lit(True)), (foreign, key), "left")
 
 
-def exists_in(
-    df: DataFrame, key: str, other: DataFrame, other_key: str, negate: bool = False, hot: HotKeys = COLD, row_id: str | None = None
-) -> DataFrame:
+def exists_in(df: DataFrame, key: str, other: DataFrame, other_key: str, negate: bool = False) -> DataFrame:
     """Rows whose key is (or, negated, is not) among another table's keys."""
     keys = other.filter(F.col(other_key).isNotNull()).select(F.col(other_key).alias("_other")).distinct()
-    return join_many(df, keys, (key, "_other"), "left_anti" if negate else "left_semi", hot, row_id)
+    return join_many(df, keys, (key, "_other"), "left_anti" if negate else "left_semi")
 
 
 def key_flags(key: str, **sources: tuple[DataFrame, str]) -> DataFrame:

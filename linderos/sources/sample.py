@@ -11,9 +11,6 @@ and NULL cells.
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLE_INPUTS = ("orders", "lineitem", "customer", "supplier", "nation", "events")
@@ -74,17 +71,19 @@ _ORDER_BASE = f"""
            CAST(CAST(o_orderdate AS DATE) AS STRING) AS dia
     FROM {{orders}}"""
 
-# (order key, line number) repeats in the sample, so lines are merged first.
+# (order key, line number) repeats in the sample, so repeated lines are numbered; each is a unit of its own.
 _LINE_BASE = f"""
-    SELECT l_orderkey AS k,
-           l_linenumber AS ln,
-           l_orderkey * 10 + l_linenumber AS id,
-           l_orderkey % 12 AS m,
-           {_hash('l_orderkey * 10 + l_linenumber')} AS h,
-           min(l_partkey) AS part,
-           min(l_quantity) AS qty,
-           CAST(floor(min(l_extendedprice) / 10) AS DOUBLE) / 100.0 AS area
-    FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber"""
+    SELECT k, ln, id, m, {_hash('id')} AS h, part, qty, area
+    FROM (SELECT l_orderkey AS k,
+                 l_linenumber AS ln,
+                 (l_orderkey * 10 + l_linenumber) * 100
+                     + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                          ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS id,
+                 l_orderkey % 12 AS m,
+                 l_partkey AS part,
+                 l_quantity AS qty,
+                 CAST(floor(l_extendedprice / 10) AS DOUBLE) / 100.0 AS area
+          FROM {{lineitem}}) numbered"""
 
 _UNIT = "m IN (2, 3, 5, 6)"
 _MATRIX = "m IN (1, 4)"
@@ -140,10 +139,10 @@ FROM (SELECT *, {_key_columns('padre', 'p')} FROM (SELECT *, CASE WHEN {_UNIT} A
 
 TERRENO = f"""
 SELECT k * 10 + 1 AS T_Id,
-       CASE WHEN h % 83 = 0 THEN NULL WHEN h % 89 = 0 THEN k + 1000000000000 ELSE k END AS predio,
+       CASE WHEN h % 83 = 0 OR prio = '5-LOW' THEN NULL WHEN h % 89 = 0 THEN k + 1000000000000 ELSE k END AS predio,
        CASE WHEN h % 97 = 0 THEN 1.23456 WHEN h % 101 = 0 THEN NULL WHEN {_MATRIX} THEN 100.0 + (g % 50) * 20.0
             WHEN {_UNIT} THEN 50.0 ELSE CAST(floor(price) AS DOUBLE) / 1000.0 END AS AREA
-FROM ({_ORDER_BASE}) first_polygon WHERE prio <> '5-LOW'
+FROM ({_ORDER_BASE}) first_polygon
 UNION ALL
 SELECT k * 10 + 2, k, CASE WHEN h % 5 = 0 THEN 0.75 ELSE 1.5 + h / 8.0 END
 FROM ({_ORDER_BASE}) second_polygon WHERE prio = '1-URGENT'"""
@@ -151,7 +150,7 @@ FROM ({_ORDER_BASE}) second_polygon WHERE prio = '1-URGENT'"""
 UNIDAD = f"""
 SELECT id AS T_Id,
        CASE WHEN h % 83 = 0 THEN NULL WHEN h % 89 = 0 THEN k + 1000000000000 ELSE k END AS predio,
-       CASE WHEN ln = 3 THEN k * 10 + 2 ELSE id END AS caracteristica,
+       CASE WHEN ln = 3 THEN (k * 10 + 2) * 100 ELSE id END AS caracteristica,
        CAST(CASE WHEN h % 31 = 0 THEN NULL ELSE CAST(qty AS INT) % 12 - 1 END AS INT) AS planta_ubicacion
 FROM ({_LINE_BASE}) base"""
 
@@ -171,11 +170,11 @@ SELECT id AS T_Id,
 FROM ({_LINE_BASE}) base"""
 
 
-def _right(j: int, where: str) -> str:
+def _right(j: int, where: str, parcel: str = "k") -> str:
     year = "CAST(substr(dia, 1, 4) AS INT)"
     return f"""
 SELECT k * 10 + {j} AS T_Id,
-       k AS predio,
+       {parcel} AS predio,
        CASE WHEN h % 35 = {j} THEN NULL ELSE CAST((k * 13 + {j}) % 3 AS STRING) END AS tipo_derecho,
        CASE WHEN h % 26 = 0 THEN NULL WHEN h % 26 = 1 THEN ' ' WHEN h % 26 = 2 THEN dia
             WHEN h % 8 = 0 THEN CAST({year} + 1 AS STRING) || substr(dia, 5, 6)
@@ -188,7 +187,7 @@ FROM ({_ORDER_BASE}) base_{j} WHERE {where}"""
 
 
 DERECHO = (
-    _right(1, "prio <> '4-NOT SPECIFIED'")
+    _right(1, "TRUE", "CASE WHEN prio = '4-NOT SPECIFIED' THEN NULL ELSE k END")
     + "\nUNION ALL" + _right(2, "prio IN ('1-URGENT', '2-HIGH')")
     + "\nUNION ALL" + _right(3, "prio = '2-HIGH'")
 )
@@ -250,15 +249,17 @@ FROM (SELECT e, t, fk, {_key_columns('otro')} FROM (
       SELECT e, t, q * 4 + q % 4 AS fk, q * 4 + q % 4 + CASE WHEN t % 5 = 0 THEN 12 ELSE 0 END AS otro
       FROM (SELECT event_id AS e, {_hash('event_id')} AS t, CAST(floor(event_id / 3) AS BIGINT) AS q FROM {{events}}) thirds) pairs) base"""
 
-# The previous registry: parcels opened before 1998 plus numbers since retired.
+# The previous registry: parcels opened before 1998, and a number since retired for each later one and each owner.
 REGISTRO1 = f"""
 SELECT DISTINCT numero_predial FROM (
-    SELECT {_number()} AS numero_predial FROM ({_ORDER_BASE}) old WHERE dia < '1998-01-01'
+    SELECT CASE WHEN dia < '1998-01-01' THEN {_number()}
+                ELSE '25506' || lpad(CAST(k AS STRING), 8, '8') || '00080008000000000' END AS numero_predial
+    FROM ({_ORDER_BASE}) old
     UNION ALL
     SELECT '25506' || lpad(CAST(c_custkey AS STRING), 8, '9') || '00070007000000000' FROM {{customer}}
 ) registry WHERE numero_predial IS NOT NULL"""
 
-# A rectangle per building unit; some have a 1 x 1 hole, some are drawn too tall.
+# A rectangle per building unit, of no known unit for small quantities; some have a 1 x 1 hole, some are drawn too tall.
 _CORNERS = [
     (0, 0, "x0", "y0"), (0, 1, "x0 + 10.0", "y0"), (0, 2, "x0 + 10.0", "y0 + alto"), (0, 3, "x0", "y0 + alto"),
 ]
@@ -266,10 +267,10 @@ _HOLE = [
     (1, 0, "x0 + 1.0", "y0 + 1.0"), (1, 5, "x0 + 1.0", "y0 + 2.0"), (1, 7, "x0 + 2.0", "y0 + 2.0"), (1, 9, "x0 + 2.0", "y0 + 1.0"),
 ]
 _VERTEX_BASE = f"""
-    SELECT id AS uc_id, h, CAST(k % 1000 AS DOUBLE) AS x0, CAST(ln * 10 AS DOUBLE) AS y0,
+    SELECT CASE WHEN qty > 2 THEN id ELSE -id END AS uc_id, h, CAST(k % 1000 AS DOUBLE) AS x0, CAST(ln * 10 AS DOUBLE) AS y0,
            COALESCE(CASE WHEN {_UNIT} THEN {_PRIVATE} ELSE {_BUILT} END, 50.0) / 10.0
              + CASE WHEN h % 7 = 0 THEN 4.5 ELSE 0.07 END AS alto
-    FROM ({_LINE_BASE}) lines WHERE qty > 2"""
+    FROM ({_LINE_BASE}) lines"""
 
 
 def _vertices(dialect: str) -> str:
@@ -311,18 +312,8 @@ def sample_sql(dialect: str) -> dict[str, str]:
     }
 
 
-def sample_location(spark: SparkSession, sf_dir: str) -> str:
-    """Folder for the projected tables: under spark.checkpoint.dir, else a local one for tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="linderos-")
-    digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-    return f"{shared.rstrip('/')}/linderos-{spark.sparkContext.applicationId}-{digest}"
-
-
-def write_sample(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
-    """Project the sample once into Parquet tables that `load_tables` reads."""
-    location = location or sample_location(spark, sf_dir)
+def write_sample(spark: SparkSession, sf_dir: str, location: str) -> str:
+    """Project the sample into Parquet tables that `load_tables` reads, for benchmarks and tests."""
     for name, df in sample_frames(spark, sf_dir).items():
         df.write.mode("overwrite").parquet(f"{location}/{name}")
     return location

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.skew import COLD, HotKeys, find_hot_keys
 from ..schema import TABLES
 
 # Short names, with key columns renamed so that joined frames have no clashes.
@@ -26,17 +25,6 @@ _SHORT = {
     "vertices": ("uc_vertices", {}),
 }
 
-# Columns that joins shuffle on and that may hold a hot key.
-_MANY_SIDE_KEYS = {
-    "predio": ("numero_predial_nacional", "numero_predial_matriz", "folio_matricula"),
-    "terreno": ("predio",),
-    "unidad": ("predio", "caracteristica"),
-    "derecho": ("predio", "interesado", "agrupacion", "fuente"),
-    "miembro": ("miembro_agrupacion", "miembro_interesado"),
-    "interesado": ("numero_documento",),
-    "novedad": ("predio", "numero_predial"),
-}
-
 
 class MissingTable(LookupError):
     """A rule needs a table that was not given."""
@@ -59,13 +47,12 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 class Cadastre:
-    """The tables of a run under short names, plus what is known of their hot keys."""
+    """The tables of a run under short names."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame]):
         self.spark = spark
         self.frames = {name: conform(df, name) for name, df in frames.items() if name in TABLES}
         self._short: dict[str, DataFrame] = {}
-        self._hot: dict[str, dict[str, HotKeys]] = {}
 
     def has(self, short: str) -> bool:
         return _SHORT[short][0] in self.frames
@@ -78,22 +65,12 @@ class Cadastre:
             self._short[short] = self.frames[table].withColumnsRenamed(names)
         return self._short[short]
 
-    def hot(self, short: str, column: str) -> HotKeys:
-        """Hot keys of a column; one pass per table covers all of its key columns."""
-        if short not in self._hot:
-            df = self[short]
-            keys = [c for c in _MANY_SIDE_KEYS[short] if c in df.columns]
-            self._hot[short] = find_hot_keys(df, keys) if keys else {}
-        return self._hot[short].get(column, COLD)
-
     def with_r1(self, numbers: DataFrame | None) -> "Cadastre":
         """The same tables with another registry list, or with none."""
         frames = {name: df for name, df in self.frames.items() if name != "_r1_predios"}
         if numbers is not None:
             frames["_r1_predios"] = numbers
-        other = Cadastre(self.spark, frames)
-        other._hot = self._hot
-        return other
+        return Cadastre(self.spark, frames)
 
     def register_views(self) -> None:
         """Temp views under the original table names, for rules written in SQL."""

@@ -1,4 +1,4 @@
-"""Operators against brute force on small fixtures, with and without hot keys."""
+"""Operators against brute force on small fixtures."""
 
 import itertools
 import random
@@ -10,9 +10,7 @@ from conftest import bag
 from linderos.operators.areas import polygon_area
 from linderos.operators.parties import same_name_diff_id
 from linderos.operators.relations import exists_in, unique
-from linderos.operators.skew import HotKeys, attach_many, find_hot_keys, join_many, repeat_rows
-
-HOT = HotKeys(values=(7,), nulls=True, splits=4)
+from linderos.operators.skew import attach_many, grid_join, grid_sizes, join_many, repeat_rows
 
 
 @pytest.fixture(scope="module")
@@ -28,27 +26,38 @@ def one(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain(many, one, how):
-    plain = join_many(many, one, ("k", "key"), how)
-    salted = join_many(many, one, ("k", "key"), how, HOT, "id")
-    assert salted.columns == plain.columns
-    assert bag(salted.collect()) == bag(plain.collect())
+def test_join_many(many, one, how):
+    values = {r.key: r.v for r in one.collect()}
+    rows = [tuple(r) for r in many.collect()]
+    want = {
+        "inner": [(*r, values[r[1]]) for r in rows if r[1] in values], "left": [(*r, values.get(r[1])) for r in rows],
+        "left_semi": [r for r in rows if r[1] in values], "left_anti": [r for r in rows if r[1] not in values],
+    }
+    assert bag(join_many(many, one, ("k", "key"), how).collect()) == bag(want[how])
+
+
+def test_attach_many_is_an_outer_join(many, one):
+    rows = [tuple(r) for r in many.collect()]
+    want = [(r.key, r.v, i) for r in one.collect() for i in [i for i, k in rows if k == r.key] or [None]]
+    assert bag(attach_many(one, many, ("key", "k")).select("key", "v", "id").collect()) == bag(want)
 
 
-def test_salted_attach_equals_plain(many, one):
-    plain = attach_many(one, many, ("key", "k"))
-    salted = attach_many(one, many, ("key", "k"), HOT, "id").select(*plain.columns)
-    assert bag(salted.collect()) == bag(plain.collect())
+@pytest.mark.parametrize("cell", [4, 2_000])
+def test_grid_join_gives_every_pair_once(spark, many, cell):
+    other = many.filter("id % 4 = 0").select(F.col("id").alias("other_id"), F.col("k").alias("other_k"))
+    sizes = grid_sizes(many, other, ("k", "other_k"), cell)
+    got = grid_join(many, other, ("k", "other_k"), ("id", "other_id"), sizes).select("id", "other_id")
+    rows = [tuple(r) for r in many.collect()]
+    assert bag(got.collect()) == bag((a, b) for a, x in rows for b, y in rows if b % 4 == 0 and x is not None and x == y)
 
 
-def test_hot_keys_are_found(spark, many):
-    spark.conf.set("spark.linderos.hotKeyRows", "39")
-    try:
-        found = find_hot_keys(many, ["k"])["k"]
-    finally:
-        spark.conf.unset("spark.linderos.hotKeyRows")
-    assert found.values == (7,) and found.nulls and found.splits == 3
-    assert not find_hot_keys(many, ["k"])["k"]
+def test_cells_of_a_frequent_key_are_even(spark):
+    """A name that everybody bears makes cells of bounded size."""
+    people = spark.range(6_000).select("id", F.lit("ana").alias("k"))
+    sizes = grid_sizes(people, people, ("k", "k"), 500)
+    assert [tuple(r) for r in sizes.collect()] == [("ana", 12, 12)]
+    placed = people.groupBy(F.pmod(F.xxhash64("id"), F.lit(12))).count().agg(F.max("count")).first()[0]
+    assert placed < 2 * 500
 
 
 def test_unique_and_exists(many, one):
@@ -56,12 +65,9 @@ def test_unique_and_exists(many, one):
     rows = many.collect()
     for r in rows:
         count[r.k] = count.get(r.k, 0) + 1
-    want = bag(r for r in rows if r.k is not None and count[r.k] > 1)
-    for hot in (HotKeys(), HOT):
-        assert bag(unique(many, "k", "id", hot=hot).collect()) == want
+    assert bag(unique(many, "k").collect()) == bag(r for r in rows if r.k is not None and count[r.k] > 1)
     keys = {r.key for r in one.collect()}
-    gone = exists_in(many, "k", one, "key", negate=True, hot=HOT, row_id="id")
-    assert bag(gone.collect()) == bag(r for r in rows if r.k not in keys)
+    assert bag(exists_in(many, "k", one, "key", negate=True).collect()) == bag(r for r in rows if r.k not in keys)
 
 
 def test_repeat_rows_in_chunks(spark):
@@ -86,8 +92,8 @@ def test_polygon_area(spark, segment):
     assert got[2] == pytest.approx(shoelace(rings[2, 0]))
 
 
-@pytest.mark.parametrize("hot", [HotKeys(), HotKeys(values=("ANA", ""), splits=5)])
-def test_homonym_pairs(spark, hot):
+@pytest.mark.parametrize("cell", [3, 2_000])
+def test_homonym_pairs(spark, cell):
     random.seed(3)
     names = ["Ana", " ana ", "ANA", "Eva", "José", "JOSÉ", "   ", "", None]
     rows = [(i, random.choice(["1", "2", "3", None]), random.choice(names), random.choice([None, "Eva"])) for i in range(60)]
@@ -103,4 +109,4 @@ def test_homonym_pairs(spark, hot):
         if a[0] < b[0] and key(a) == key(b) and (raw(a) or "") != "" and a[1] and b[1] and a[1] != b[1]
     ]
     df = spark.createDataFrame(rows, "interesado_id long, numero_documento string, nombre_interesado string, razon_social string")
-    assert bag(same_name_diff_id(df, hot).collect()) == bag(want)
+    assert bag(same_name_diff_id(df, cell).collect()) == bag(want)
