@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from linderos.operators.areas import polygon_area as polygon_areas
 from linderos.plans.findings import rule_findings
 from linderos.plans.frames import FRAMES
-from linderos.plans.run import summary_by_rule, summary_by_severity, violations
-from linderos.rules import catalogue
+from linderos.plans.run import run_rules, summary_by_rule, summary_by_severity, violations
+from linderos.plans.sink import read_violations
+from linderos.rules import Rule, catalogue, select_rules
 from linderos.schema import FINDING
-from linderos.sources.r1 import registry_numbers
+from linderos.sources.r1 import R1List, read_r1_csv
 from linderos.sources.sample import sample_frames
 from linderos.sources.tables import Cadastre
 from oracle import rules_sql
@@ -63,15 +66,94 @@ def matrix_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _registry_file(spark: SparkSession, sf_dir: str) -> R1List:
+    """The parcel numbers as a CSV file on shared storage, read back by the loader: a byte-order mark, quoted fields, line
+    breaks in a field, blanks around and instead of numbers, and repeats."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linderos-")
+    path = f"{folder.rstrip('/')}/registro-{uuid.uuid4().hex}"
+    number = F.col("numero_predial_nacional")
+    lines = tables(spark, sf_dir)["predio"].select(
+        F.concat_ws(",", F.lit('"linea 1\n""linea"" 2"'), F.concat(F.lit("  "), F.coalesce(number, F.lit("")), F.lit("\t"))).alias("value"))
+    head = spark.createDataFrame([("\ufeffobs,Numero_Predial",), ('x,"A\nB, ""C"""',), ("x,   ",)], "value string").coalesce(1)
+    # Each file needs its own header, so the rows are written as one file; the list is small against the tables.
+    head.unionAll(lines).coalesce(1).write.text(path)
+    return read_r1_csv(spark, path)
+
+
 def load_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry numbers through the R1 loader."""
-    return registry_numbers(tables(spark, sf_dir)["r1"].withColumnRenamed("r1_numero", "Numero_Predial")).numbers
+    """Registry numbers of a CSV file."""
+    return _registry_file(spark, sf_dir).numbers
 
 
 def r1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows read and distinct numbers when the parcel table serves as the registry list."""
-    loaded = registry_numbers(tables(spark, sf_dir)["predio"].select("numero_predial_nacional"))
-    return loaded.rows.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("numero_predial").alias("distintos"))
+    """Rows and distinct numbers of a CSV file."""
+    return _registry_file(spark, sf_dir).rows.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("numero_predial").alias("distintos"))
+
+
+SELECTED = {"categorias": ["registral", "coherencia_geografica"], "severidades": ["error"]}
+
+
+def selected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over two categories and one severity."""
+    found, _ = violations(tables(spark, sf_dir), select_rules(**SELECTED), NO_TIME)
+    return found.drop("fecha_validacion")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations per category."""
+    return all_violations(spark, sf_dir).groupBy("categoria").agg(F.count(F.lit(1)).alias("n"))
+
+
+ZONE = 12
+ROADLESS = Rule(
+    id="X-BUENO", descripcion="via", categoria="usuario",
+    sql="SELECT 'cca_predio', T_Id, numero_predial_nacional, 'sin via', via, NULL FROM cca_predio WHERE via = {via}", parametros={"via": 3},
+)
+BROKEN = Rule(
+    id="X-ROTO", descripcion="roto", categoria="usuario",
+    sql="SELECT 'cca_predio', T_Id, NULL, 'm', cast(concat('x', via) AS int), NULL FROM cca_predio",
+)
+
+
+def _extended(spark: SparkSession, sf_dir: str) -> Cadastre:
+    """The sample with one more column and one more table."""
+    given = tables(spark, sf_dir).given
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    streets = customers.select(F.col("c_custkey").alias("T_Id"), F.col("c_custkey").alias("predio"), F.col("c_nationkey").alias("zona"))
+    return Cadastre(spark, given | {"cca_predio": given["cca_predio"].withColumn("via", F.expr("T_Id % 7")), "cca_direccion": streets})
+
+
+def user_rule_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user rule in SQL over a table that is not of the schema, with a parameter."""
+    rule = Rule(
+        id="X-SQL", descripcion="zona", categoria="usuario", parametros={"tope": ZONE},
+        sql="SELECT 'cca_direccion', d.T_Id, p.numero_predial_nacional, 'grande', d.zona, {tope} "
+            "FROM cca_direccion d JOIN cca_predio p ON d.predio = p.T_Id WHERE d.zona > {tope}",
+    )
+    return rule_findings(_extended(spark, sf_dir), rule).select(*FINDING)
+
+
+def user_rule_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user rule over a column that is not of the schema."""
+    return rule_findings(_extended(spark, sf_dir), ROADLESS).select(*FINDING)
+
+
+def isolated_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run in which one user rule fails on its values: -1 for that rule, the others counted."""
+    (built_in,) = [rule for rule in catalogue() if rule.id == "R-14"]
+    summary = run_rules(_extended(spark, sf_dir), rules=[BROKEN, built_in, ROADLESS])
+    return spark.createDataFrame([(rule_id, n) for rule_id, _, _, n in summary.por_regla], "regla_id string, n long")
+
+
+def sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations kept after a run and a second one, of one category and severity, that finds nothing any more."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linderos-")
+    path = f"{folder.rstrip('/')}/violaciones-{uuid.uuid4().hex}"
+    whole = tables(spark, sf_dir)
+    run_rules(whole, categorias=["duplicados", "registral"], output=path)
+    clean = Cadastre(spark, whole.given | {"cca_predio": whole.given["cca_predio"].filter("folio_matricula is null")})
+    run_rules(clean, categorias=["duplicados"], severidades=["advertencia"], output=path)
+    return read_violations(spark, path).groupBy("categoria", "severidad").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
@@ -100,6 +182,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "matrix_rollups": matrix_rollups,
         "load_r1": load_r1,
         "r1_counts": r1_counts,
+        "selected_rules": selected_rules,
+        "category_counts": category_counts,
+        "user_rule_sql": user_rule_sql,
+        "user_rule_column": user_rule_column,
+        "isolated_failure": isolated_failure,
+        "sink_rerun": sink_rerun,
     }
     return found | text_queries()[0]
 
@@ -114,5 +202,11 @@ def oracle_sql() -> dict[str, str]:
         "matrix_rollups": rules_sql.matrix_rollups_sql(),
         "load_r1": rules_sql.load_r1_sql(),
         "r1_counts": rules_sql.r1_counts_sql(),
+        "selected_rules": rules_sql.selection_sql([rule.id for rule in select_rules(**SELECTED)]),
+        "category_counts": rules_sql.category_counts_sql(),
+        "user_rule_sql": rules_sql.user_rule_sql(ZONE),
+        "user_rule_column": rules_sql.user_rule_column_sql(),
+        "isolated_failure": rules_sql.isolated_failure_sql(),
+        "sink_rerun": rules_sql.sink_rerun_sql(),
     }
     return found | text_queries()[1]

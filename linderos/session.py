@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -14,17 +16,22 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
     # The JIT refuses methods above 8000 bytes; past that, let Spark generate split code.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings on a session somebody else made."""
-    for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
-    return spark
+@contextmanager
+def configured(spark: SparkSession) -> Iterator[None]:
+    """Settings for the jobs of a run, where the caller has set none; they are taken back afterwards."""
+    own = [name for name in SETTINGS if spark.conf.get(name, None) is None]
+    for name in own:
+        spark.conf.set(name, SETTINGS[name])
+    try:
+        yield
+    finally:
+        for name in own:
+            spark.conf.unset(name)
 
 
 def local_session(cores: str = "*", memory: str = "8g", **extra: str) -> SparkSession:

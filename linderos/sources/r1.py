@@ -23,9 +23,10 @@ class R1List:
     numbers: DataFrame
     rows: DataFrame
 
-    def rows_read(self) -> int:
-        """Non-blank rows, repeated numbers included."""
-        return self.rows.count()
+    def counts(self) -> tuple[int, int]:
+        """Non-blank rows with repeated numbers included, and distinct numbers."""
+        row = self.rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("numero_predial").alias("numbers")).head()
+        return row["rows"], row["numbers"]
 
 
 def registry_numbers(raw: DataFrame) -> R1List:
@@ -40,10 +41,14 @@ def registry_numbers(raw: DataFrame) -> R1List:
 
 
 def read_r1_csv(spark: SparkSession, path: str, **options) -> R1List:
-    """UTF-8 CSV with a header (byte-order mark allowed) from any Spark-readable path."""
+    """UTF-8 CSV with a header (byte-order mark allowed) from any Spark-readable path.
+
+    Quoted fields may hold line breaks, so a file is read by one task; `multiLine=False` splits a huge file that has
+    none.
+    """
     from pyspark.errors import AnalysisException
 
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", True)
     try:
         raw = reader.options(**options).csv(path)
     except AnalysisException as problem:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import TABLES
+from .r1 import R1_VIEW, registry_numbers
 
 # Short names, with key columns renamed so that joined frames have no clashes.
 _SHORT = {
@@ -30,28 +31,37 @@ class MissingTable(LookupError):
     """A rule needs a table that was not given."""
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Known columns of a table in their declared types; absent ones stay absent."""
+def _casts(df: DataFrame, table: str) -> dict[str, tuple[str, Column | None]]:
+    """Per declared column: the actual name, and the cast it needs if its type differs."""
     present = {c.lower(): c for c in df.columns}
     kinds = dict(df.dtypes)
-    columns = []
+    found = {}
     for field in TABLES[table].fields:
         actual = present.get(field.name.lower())
-        if actual is None:
-            continue
-        value = F.col(f"`{actual}`")
-        if kinds[actual] != field.dataType.simpleString():
-            value = value.try_cast(field.dataType)
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+        if actual is not None:
+            same = kinds[actual] == field.dataType.simpleString()
+            found[field.name] = actual, None if same else F.col(f"`{actual}`").try_cast(field.dataType)
+    return found
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Declared columns of a table in their declared types, and every other column as it is."""
+    casts = _casts(df, table)
+    declared = [(F.col(f"`{actual}`") if cast is None else cast).alias(name) for name, (actual, cast) in casts.items()]
+    known = {actual for actual, _ in casts.values()}
+    return df.select(*declared, *[F.col(f"`{c}`") for c in df.columns if c not in known])
 
 
 class Cadastre:
-    """The tables of a run under short names."""
+    """The tables of a run: those of the schema under short names, and any others for user rules."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame]):
         self.spark = spark
-        self.frames = {name: conform(df, name) for name, df in frames.items() if name in TABLES}
+        self.given = dict(frames)
+        self.frames = {name: conform(df, name) if name in TABLES else df for name, df in frames.items() if name != R1_VIEW}
+        if R1_VIEW in frames:
+            # A list that comes as a table is held to the same as one that comes as a file: stripped, not blank, distinct.
+            self.frames[R1_VIEW] = registry_numbers(frames[R1_VIEW]).numbers
         self._short: dict[str, DataFrame] = {}
 
     def has(self, short: str) -> bool:
@@ -62,16 +72,32 @@ class Cadastre:
         if table not in self.frames:
             raise MissingTable(table)
         if short not in self._short:
-            self._short[short] = self.frames[table].withColumnsRenamed(names)
+            df = self.frames[table]
+            # Declared columns only: other ones could clash when frames are joined.
+            self._short[short] = df.select(*[f.name for f in TABLES[table].fields if f.name in df.columns]).withColumnsRenamed(names)
         return self._short[short]
 
     def with_r1(self, numbers: DataFrame | None) -> "Cadastre":
         """The same tables with another registry list, or with none."""
-        frames = {name: df for name, df in self.frames.items() if name != "_r1_predios"}
+        frames = {name: df for name, df in self.given.items() if name != R1_VIEW}
         if numbers is not None:
-            frames["_r1_predios"] = numbers
+            frames[R1_VIEW] = numbers
         return Cadastre(self.spark, frames)
 
+    def lost_cells(self) -> dict[str, int]:
+        """Cells that are not NULL but have no value of the declared type, by table.column; one pass over each table
+        that needs a cast, none over others."""
+        lost = {}
+        for table, df in self.given.items():
+            casts = _casts(df, table) if table in TABLES and table != R1_VIEW else {}
+            counted = [
+                F.count(F.when(F.col(f"`{actual}`").isNotNull() & cast.isNull(), 1)).alias(name)
+                for name, (actual, cast) in casts.items() if cast is not None
+            ]
+            if counted:
+                lost |= {f"{table}.{name}": n for name, n in df.agg(*counted).head().asDict().items() if n}
+        return lost
+
     def register_views(self) -> None:
         """Temp views under the original table names, for rules written in SQL."""
         for name, df in self.frames.items():
@@ -82,21 +108,20 @@ class Cadastre:
             self.spark.catalog.dropTempView(name)
 
 
-def load_tables(spark: SparkSession, location: str, format: str = "parquet", **options) -> Cadastre:
-    """Tables stored as `location/<table>` in any file format Spark reads."""
+def load_tables(spark: SparkSession, location: str, format: str = "parquet", others: Iterable[str] = (), **options) -> Cadastre:
+    """Tables stored as `location/<table>` in any file format Spark reads; `others` names tables beyond the schema."""
     frames = {}
-    for name in TABLES:
+    for name in (*TABLES, *others):
         try:
             frames[name] = spark.read.format(format).options(**options).load(f"{location.rstrip('/')}/{name}")
         except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
+            if problem.getCondition() != "PATH_NOT_FOUND" or name not in TABLES:
                 raise
     return Cadastre(spark, frames)
 
 
 def load_catalog(spark: SparkSession, database: str) -> Cadastre:
-    """Tables of a catalog schema."""
-    frames = {
-        name: spark.table(f"{database}.{name}") for name in TABLES if spark.catalog.tableExists(f"{database}.{name}")
-    }
-    return Cadastre(spark, frames)
+    """All tables of a catalog schema."""
+    names = [table.name for table in spark.catalog.listTables(database) if not table.isTemporary]
+    known = {name.lower(): name for name in TABLES}
+    return Cadastre(spark, {known.get(name.lower(), name): spark.table(f"{database}.`{name}`") for name in names})

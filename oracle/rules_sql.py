@@ -124,20 +124,22 @@ pn AS (
 nv AS (SELECT T_Id, cca_predio_novedad_numero_predial AS fk, tipo_novedad, numero_predial FROM cca_estructuranovedadnumeropredial)"""
 
 # ------------------------------------------------------------------ parcel numbers
-_CONDITIONS = {"R-01": "0", "R-02": "10", "R-03": "8", "R-04": "6 7", "R-05": "9", "R-10": "1", "R-12": "3"}
+_CONDITIONS = {
+    "R-01": "'0'", "R-02": "'10'", "R-03": "'8'", "R-04": "'6', '7'", "R-05": "'9'", "R-10": "'1'", "R-12": "'3'",
+}
 for _id, (_suffix, *_rest) in SUFFIXES.items():
-    parcel(_id, f"list_contains({_CONDITIONS[_id].split()}, condicion_predio) AND NOT {cut(NP, 22, 9)} = '{_suffix}'", cut(NP, 22, 9))
-parcel("R-08-A", f"length({NP}) NOT IN (30)", txt(f"length({NP})"))
-add("R-08-B", "nv", "length(numero_predial) NOT IN (30)", "cca_estructuranovedadnumeropredial", "T_Id", "numero_predial",
+    parcel(_id, f"condicion_predio IN ({_CONDITIONS[_id]}) AND {cut(NP, 22, 9)} <> '{_suffix}'", cut(NP, 22, 9))
+parcel("R-08-A", f"length({NP}) <> 30", txt(f"length({NP})"))
+add("R-08-B", "nv", "length(numero_predial) <> 30", "cca_estructuranovedadnumeropredial", "T_Id", "numero_predial",
     txt("length(numero_predial)"))
 parcel("R-09", f"'0000' IN ({cut(NP, 14, 4)}, {cut(NP, 18, 4)})", f"concat_ws('/', {cut(NP, 14, 4)}, {cut(NP, 18, 4)})",
        f"if({cut(NP, 14, 8)} = '00000000', {msg('R-09', 0)}, if({cut(NP, 14, 4)} = '0000', {msg('R-09', 1)}, {msg('R-09', 2)}))")
 parcel("R-11", f"condicion_predio = '2' AND ({cut(NP, 22, 1)} <> '9' OR {cut(NP, 23, 2)} = '00' OR {cut(NP, 25, 2)} = '00' OR {cut(NP, 27, 4)} = '0000')",
        cut(NP, 22, 9))
 parcel("R-13", f"condicion_predio = '4' AND ({cut(NP, 22, 5)} <> '80000' OR {cut(NP, 27, 4)} = '0000')", cut(NP, 22, 9))
-parcel("R-14", f"regexp_matches({cut(NP, 22, 1)}, '[156]')", cut(NP, 22, 1))
+parcel("R-14", f"{cut(NP, 22, 1)} IN ('1', '5', '6')", cut(NP, 22, 1))
 _dep, _mun = f"ifnull({cut('departamento_municipio', 1, 2)}, '25')", f"ifnull({cut('departamento_municipio', 3, 3)}, '506')"
-parcel("R-15", f"NOT {cut(NP, 1, 2)} = {_dep}", cut(NP, 1, 2), esperado=_dep)
+parcel("R-15", f"{cut(NP, 1, 2)} <> {_dep}", cut(NP, 1, 2), esperado=_dep)
 parcel("R-16", f"NOT {cut(NP, 3, 3)} = {_mun}", cut(NP, 3, 3), esperado=_mun)
 
 # ------------------------------------------------------------------ duplicates, registry data
@@ -217,8 +219,9 @@ add("RF-05", "cca_terreno t LEFT JOIN cca_predio p ON p.T_Id = predio", "AREA <
     rnd("AREA", 4))
 parcel("RF-06", "f <> 'A'", "f", tid="pid", source=f"(SELECT pid, {NP}, min(identificador) AS f FROM puc GROUP BY ALL)")
 for _id, (_type, _label, _first, _last) in USE_DOMAINS.items():
-    trait(_id, f"tipo_construccion = '{_type}' AND {_uso}::INT NOT BETWEEN {_first} AND {_last}", _uso)
-add("RF-12", "cca_unidadconstruccion u JOIN cca_predio p ON p.T_Id = u.predio", "planta_ubicacion < 1", "cca_unidadconstruccion", "u.T_Id", NP,
+    _allowed = ", ".join(f"'{code}'" for code in range(int(_first), int(_last) + 1))
+    trait(_id, f"tipo_construccion = '{_type}' AND {_uso} NOT IN ({_allowed})", _uso)
+add("RF-12", "cca_unidadconstruccion u JOIN cca_predio p ON p.T_Id = u.predio", "planta_ubicacion <= 0", "cca_unidadconstruccion", "u.T_Id", NP,
     txt("planta_ubicacion"))
 for _id, (_uses, _type, _label, _parcel, _name) in DOMINANT_TYPES.items():
     _mine = f"sum(if(tipo_construccion = '{_type}', area_construida, 0.0))"
@@ -255,8 +258,8 @@ _fmi = "folio_matricula"
 parcel("RJ-02-A", f"tipo_predio = '4' AND tipo_derecho = '0' AND condicion_predio <> '9' AND {blank(_fmi)}", word(_fmi), source="pd")
 parcel("RJ-02-B", f"condicion_predio = '9' AND tipo_derecho IN ('1', '2') AND {filled(_fmi)}", _fmi, source="pd")
 parcel("RJ-03", "tipo_derecho = '2' AND tipo_predio IS DISTINCT FROM '4'", word("tipo_predio"), source="pd")
-parcel("RJ-04", "(tipo_predio, tipo_derecho) = ('4', '1')", "'tipo_predio=4, tipo_derecho=1'", source="pd")
-parcel("RJ-05", "tipo_derecho = '2' AND tipo_predio BETWEEN '0' AND '3'", "format('tipo_predio={}, tipo_derecho=2', tipo_predio)", source="pd")
+parcel("RJ-04", "tipo_predio = '4' AND tipo_derecho = '1'", "'tipo_predio=4, tipo_derecho=1'", source="pd")
+parcel("RJ-05", "tipo_derecho = '2' AND tipo_predio IN ('0', '1', '2', '3')", "format('tipo_predio={}, tipo_derecho=2', tipo_predio)", source="pd")
 parcel("RJ-06", f"tipo_predio = '0' AND tipo_derecho = '0' AND NOT {_NAT}", word("quien"),
        source=f"(SELECT pdi.* FROM pdi LEFT JOIN cca_interesado_agrupacion ia ON ia.agrupacion = pdi.agrupacion) b "
               f"ANTI JOIN (SELECT grupo FROM socio WHERE {_NAT}) g ON g.grupo = b.agrupacion")
@@ -290,8 +293,8 @@ def party(rule_id: str, where: str, name: str, actual: str, mensaje=None, tail="
 _nom, _raz, _doc = "nombre_interesado", "razon_social", "numero_documento"
 _rn, _nr = f"coalesce({_raz}, {_nom}, 'SIN NOMBRE')", f"coalesce({_nom}, {_raz}, 'SIN NOMBRE')"
 _n, _r = f"ifnull({_nom}, 'SIN NOMBRE')", f"ifnull({_raz}, 'SIN RAZON SOCIAL')"
-party("RJ-13", "tipo_interesado = '1' AND regexp_matches(tipo_documento, '^[^26]$')", _rn, "tipo_documento")
-party("RJ-14", "tipo_interesado = '0' AND tipo_documento IN ('2', '7', '8')", _n, "tipo_documento")
+party("RJ-13", "tipo_interesado = '1' AND tipo_documento NOT IN ('2', '6')", _rn, "tipo_documento")
+party("RJ-14", "tipo_interesado = '0' AND tipo_documento NOT IN ('0', '1', '3', '4', '5', '6')", _n, "tipo_documento")
 party("RJ-15", f"tipo_documento IN ('0', '1', '4', '5') AND ifnull(trim({_doc}), '') IN ('', '0')", _nr, word(_doc),
       f"concat({msg('RJ-15', 0)}, tipo_documento, {msg('RJ-15', 1)})")
 party("RJ-16", f"tipo_documento = '2' AND ({blank(_doc)} OR instr({_doc}, '-') = 0)", _rn, word(_doc),
@@ -436,9 +439,45 @@ round(suelo_h, 6) AS terreno_hijas, round(techo_h, 6) AS construido_hijas, torre
 
 
 def load_r1_sql() -> str:
-    return prefix() + "SELECT numero_predial FROM _r1_predios"
+    return prefix() + f"""SELECT DISTINCT trim({NP}) AS numero_predial FROM cca_predio WHERE trim({NP}) <> ''
+UNION SELECT 'A' || chr(10) || 'B, "C"'"""
 
 
 def r1_counts_sql() -> str:
-    return prefix() + f"""SELECT count(*) AS filas, count(DISTINCT numero_predial) AS distintos
+    return prefix() + f"""SELECT count(*) + 1 AS filas, count(DISTINCT numero_predial) + 1 AS distintos
 FROM (SELECT trim({NP}) AS numero_predial FROM cca_predio) WHERE numero_predial <> ''"""
+
+
+def selection_sql(ids: list[str]) -> str:
+    """Violations of the rules listed by id."""
+    listed = ", ".join(f"'{rule_id}'" for rule_id in ids)
+    return f"SELECT * FROM ({violations_sql()}) v WHERE regla_id IN ({listed})"
+
+
+def category_counts_sql() -> str:
+    return f"SELECT categoria, count(*) AS n FROM ({violations_sql()}) v GROUP BY categoria"
+
+
+def user_rule_sql(limit: int) -> str:
+    return prefix() + f"""SELECT 'cca_direccion' AS tabla, d.T_Id AS t_id, p.{NP} AS clave_negocio, 'grande' AS mensaje,
+    CAST(d.zona AS VARCHAR) AS valor_actual, '{limit}' AS valor_esperado
+FROM cca_predio p JOIN (SELECT c_custkey AS T_Id, c_custkey AS predio, c_nationkey AS zona FROM customer) d ON d.predio = p.T_Id
+WHERE d.zona > {limit}"""
+
+
+def user_rule_column_sql() -> str:
+    return prefix() + f"""SELECT 'cca_predio' AS tabla, T_Id AS t_id, {NP} AS clave_negocio, 'sin via' AS mensaje,
+    CAST(T_Id % 7 AS VARCHAR) AS valor_actual, CAST(NULL AS VARCHAR) AS valor_esperado FROM cca_predio WHERE T_Id % 7 = 3"""
+
+
+def isolated_failure_sql() -> str:
+    return f"""SELECT 'X-ROTO' AS regla_id, CAST(-1 AS BIGINT) AS n UNION ALL
+SELECT 'R-14', (SELECT count(*) FROM ({rule_sql('R-14')}) r) UNION ALL
+SELECT 'X-BUENO', (SELECT count(*) FROM ({user_rule_column_sql()}) c)"""
+
+
+def sink_rerun_sql() -> str:
+    """Both severities of the first run, without the category and severity that the second run emptied."""
+    return f"""SELECT categoria, severidad, count(*) AS n FROM ({violations_sql()}) v
+WHERE categoria IN ('duplicados', 'registral') AND NOT (categoria = 'duplicados' AND severidad = 'advertencia')
+GROUP BY categoria, severidad"""

@@ -32,7 +32,7 @@ def r1_csv(tmp_path):
 def test_r1_csv(spark, r1_csv, tmp_path):
     loaded = read_r1_csv(spark, r1_csv)
     assert bag(loaded.numbers.collect()) == [("255",), ("300",)]
-    assert loaded.rows_read() == 3
+    assert loaded.counts() == (3, 2)
     with pytest.raises(R1Error):
         read_r1_csv(spark, str(tmp_path / "absent.csv"))
     (tmp_path / "other.csv").write_text("a,b\n1,2\n")
@@ -40,6 +40,82 @@ def test_r1_csv(spark, r1_csv, tmp_path):
         read_r1_csv(spark, str(tmp_path / "other.csv"))
 
 
+def test_r1_csv_dialect(spark, tmp_path):
+    """Quotes, a line break in a field, short and long rows."""
+    path = tmp_path / "r1.csv"
+    path.write_text('numero_predial,obs\n123,"a\n999"\n"4""5",x\n6\n7,y,z,w\n', encoding="utf-8")
+    assert bag(read_r1_csv(spark, str(path)).numbers.collect()) == [("123",), ('4"5',), ("6",), ("7",)]
+
+
+def test_ready_made_registry_is_normalised(spark, tables):
+    raw = spark.createDataFrame([("A",), (" A ",), (" ",), (None,), ("B",)], "numero_predial string")
+    given = Cadastre(spark, tables.given | {"_r1_predios": raw})
+    assert bag(given["r1"].collect()) == [("A",), ("B",)]
+
+
+def test_lost_cells_are_reported(spark, tables):
+    rows = [(1, 1, "1,5"), (2, 1, "2.5"), (3, 1, None)]
+    given = Cadastre(spark, tables.given | {"cca_terreno": spark.createDataFrame(rows, "T_Id long, predio long, AREA string")})
+    summary = run_rules(given, rules=by_id("RF-05"))
+    assert summary.celdas_perdidas == {"cca_terreno.AREA": 1}
+
+
+def test_settings_of_the_caller_stay(spark, tables):
+    names = ("spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.session.timeZone", "America/Bogota")
+    before = [spark.conf.get(n, None) for n in names]
+    run_rules(tables, rules=by_id("R-14"))
+    assert [spark.conf.get(n, None) for n in names] == before
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rules_over_other_tables_and_columns(spark, tables):
+    streets = spark.createDataFrame([(1, "Calle"), (2, None)], "T_Id long, via string")
+    wide = tables.given["cca_predio"].withColumn("direccion", F.lit("x"))
+    given = Cadastre(spark, tables.given | {"cca_direccion": streets, "cca_predio": wide})
+    six = "NULL, 'm', NULL, NULL"
+    rules = [Rule(id="X-1", descripcion="", categoria="u", sql=f"SELECT 'cca_direccion', T_Id, {six} FROM cca_direccion WHERE via IS NULL"),
+             Rule(id="X-2", descripcion="", categoria="u", sql=f"SELECT 'cca_predio', T_Id, {six} FROM cca_predio WHERE direccion = 'x'")]
+    summary = run_rules(given, rules=rules + by_id("R-14"))
+    counts = {rule_id: n for rule_id, _, _, n in summary.por_regla}
+    assert counts["X-1"] == 1 and counts["X-2"] == wide.count() and counts["R-14"] > 0
+
+
+def test_rules_that_fail_on_a_value_harm_nobody(tables):
+    select = "SELECT 'cca_predio', T_Id, NULL, 'm', {}, NULL FROM cca_predio WHERE {}"
+    rules = [Rule(id="X-1", descripcion="", categoria="u", sql=select.format("NULL", "cast(condicion_predio || 'x' as int) = 1")),
+             Rule(id="X-2", descripcion="", categoria="u", sql=select.format("1 % (T_Id - T_Id)", "true")),
+             Rule(id="X-3", descripcion="", categoria="u", sql=select.format("NULL", "true"))]
+    summary = run_rules(tables, rules=rules + by_id("R-14"))
+    counts = {rule_id: n for rule_id, _, _, n in summary.por_regla}
+    assert counts["X-1"] == counts["X-2"] == -1 and counts["X-3"] > 0 and counts["R-14"] > 0
+
+
+def test_sink_with_odd_category_names(spark, tables, tmp_path):
+    path = str(tmp_path / "v")
+    sql = "SELECT 'cca_terreno', T_Id, NULL, 'm', NULL, NULL FROM cca_terreno WHERE T_Id > {}"
+    rule = lambda least: Rule(id="X-1", descripcion="", categoria="usr:a=b/c %", sql=sql.format(least))
+    first = run_rules(tables, rules=[rule(0), *by_id("R-14")], output=path)
+    assert read_violations(spark, path).count() == first.total > 0
+    again = run_rules(tables, rules=[rule(10**15)], output=path)
+    assert again.total == 0
+    assert {r.regla_id for r in read_violations(spark, path).select("regla_id").distinct().collect()} == {"R-14"}
+
+
+def test_run_without_commit_is_never_seen(spark, tables, tmp_path, monkeypatch):
+    from linderos.plans import sink
+
+    path = str(tmp_path / "v")
+    first = run_rules(tables, rules=by_id("R-14"), output=path)
+    monkeypatch.setattr(sink, "MANIFEST", None)  # the commit fails
+    with pytest.raises(Exception):
+        run_rules(tables, rules=by_id("R-14"), output=path)
+    monkeypatch.undo()
+    assert read_violations(spark, path).count() == first.total
+    sink.drop_replaced(spark, path, str(tmp_path / "w"))
+    assert read_violations(spark, str(tmp_path / "w")).count() == first.total
+
+
 def test_rules_without_registry_are_err_and_harm_nobody(tables):
     summary = run_rules(tables.with_r1(None), rules=by_id("RN-17", "RN-12", "RN-02", "RN-16", "R-08-B"))
     counts = {rule_id: n for rule_id, _, _, n in summary.por_regla}
@@ -64,7 +140,7 @@ def test_registry_counts_for_one_run(tables, r1_csv):
 
 
 def test_missing_column_is_isolated(tables):
-    frames = dict(tables.frames)
+    frames = dict(tables.given)
     frames["cca_predio"] = frames["cca_predio"].drop("area_registral_m2")
     summary = run_rules(Cadastre(tables.spark, frames), rules=by_id("R-24-A", "R-01", "R-14"))
     counts = {rule_id: n for rule_id, _, _, n in summary.por_regla}
@@ -111,7 +187,7 @@ def test_sink_replaces_only_what_was_run(spark, tables, tmp_path):
     assert stored.columns == VIOLATION.names
     # A second run of one severity leaves everything else in place.
     before = {(r.categoria, r.severidad): r["count"] for r in stored.groupBy("categoria", "severidad").count().collect()}
-    clean = Cadastre(spark, tables.frames | {"cca_predio": tables.frames["cca_predio"].filter("folio_matricula is null")})
+    clean = Cadastre(spark, tables.given | {"cca_predio": tables.given["cca_predio"].filter("folio_matricula is null")})
     again = run_rules(clean, categorias=["duplicados"], severidades=["advertencia"], output=path)
     assert again.total == 0
     after = {(r.categoria, r.severidad): r["count"]
