@@ -62,6 +62,7 @@ class Cadastre:
         if R1_VIEW in frames:
             # A list that comes as a table is held to the same as one that comes as a file: stripped, not blank, distinct.
             self.frames[R1_VIEW] = registry_numbers(frames[R1_VIEW]).numbers
+        self.kept: dict[str, DataFrame] = {}  # relations written for a run, by name
         self._short: dict[str, DataFrame] = {}
 
     def has(self, short: str) -> bool:

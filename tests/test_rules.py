@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from conftest import SMALL, bag
 from linderos.plans.findings import rule_findings
-from linderos.plans.run import violations
+from linderos.plans.frames import SHARED
+from linderos.plans.run import shared_once, violations
 from linderos.rules import catalogue, categories, select_rules
 from linderos.sources.tables import Cadastre
 from oracle import rules_sql
@@ -74,6 +75,18 @@ def test_fused_run_with_skewed_partitions_cut(spark, tables, all_expected):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_fused_run_with_relations_kept(tables, all_expected):
+    """Same rows with the shared relations written first, and fewer scans in the plan."""
+    columns, want = all_expected
+    kept = shared_once(tables, catalogue())
+    assert set(kept.kept) == set(SHARED)
+    found, failed = violations(kept, catalogue(), "")
+    assert not failed
+    assert bag(found.select(*columns).collect()) == want
+    scans = lambda c: violations(c, catalogue(), "")[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(kept) < scans(tables)
+
+
 def test_planning_starts_no_job(spark, tables):
     group = "planning"
     spark.sparkContext.setJobGroup(group, group)
