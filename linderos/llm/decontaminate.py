@@ -6,8 +6,8 @@ word position is one generated row that hashes the words behind it and probes th
 hash is found has its words joined and compared.  Words inside any verified window are hit.
 
 The broadcast side is bounded: `WINDOWS_PER_BLOCK` distinct windows at most in expectation, whatever the size of the
-benchmark.  A larger benchmark is dealt by hash into blocks, and the documents are scanned once for each block; the
-union of the blocks is the whole answer.  Hits leave the scan as (document, position), so a window that many documents
+benchmark.  A larger benchmark is dealt by hash into blocks, and the documents are scanned once for each block and window
+length (short items have lengths of their own); the union of the scans is the whole answer.  Hits leave the scan as (document, position), so a window that many documents
 share is spread over the documents, and items are looked up per distinct window of a document.
 
 Rows are told apart by id and a 128-bit fingerprint of the text, which are what gets shuffled.  Defined results: null

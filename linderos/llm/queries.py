@@ -110,9 +110,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f) for f in (
-        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_nearest_neighbours, op5_sentencepiece_codec,
-        op6_secret_scans, op7_token_counts, op8_license_scans,
-        op9_token_id_output, op10_ngram_jaccard_join,
+        op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_nearest_neighbours,
+        op5_sentencepiece_codec, op6_secret_scans, op7_token_counts, op8_license_scans, op9_token_id_output,
+        op10_ngram_jaccard_join,
     )
 }
 ORACLES = oracle.ORACLES

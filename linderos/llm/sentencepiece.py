@@ -11,8 +11,9 @@ Zipf's law, log(1 / ((r + 1) H)), H the sum that makes the scores probabilities;
 The trie is a double array over UTF-8 bytes: from node s, byte b leads to t = base[s] + b + 1 if check[t] = s.  It is
 built once on the driver and sent to the workers; its size is that of the vocabulary.
 
-No piece holds a marker behind another character, and none holds a line break; the first is checked, the second decides
-whether line breaks divide.  So the best cut of a text is made of the best cuts of its words.  Each worker keeps a
+If no piece holds a marker behind another character, the best cut of a text is made of the best cuts of its words, and if
+none holds a line break, line breaks divide as well; both are looked up in the vocabulary, and texts are cut whole where
+they do not hold.  Each worker keeps a
 bounded cache of words, and runs Viterbi over all new words of a batch at once, one array operation per place and depth.
 
 Defined results: null text counts as empty; an empty text has no ids; repeated rows are encoded alike; other columns do
