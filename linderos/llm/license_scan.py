@@ -102,7 +102,7 @@ SEED = 5
 
 _TOKEN = re.compile(r"\w+|\n")
 _WORD = re.compile(r"\w+")
-_CACHED = 1_000_000
+_CACHED = 200_000
 _ids: dict[str, int] = {}
 
 

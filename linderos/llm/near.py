@@ -51,7 +51,7 @@ SEED = 7_919
 BROADCAST_ROWS = 1_000_000
 
 _WORD = re.compile(r"\w+")
-_WORDS_CACHED = 1_000_000
+_WORDS_CACHED = 200_000
 _word_ids: dict[str, int] = {}
 
 

@@ -41,7 +41,7 @@ MARKER_BYTES = MARKER.encode()
 UNKNOWN_PENALTY = 10.0
 TOGETHER = 48  # words of more bytes are cut one by one
 WORDS_AT_ONCE = 20_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
