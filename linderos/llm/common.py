@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Largest list of documents (about 100 MB in memory) that is broadcast to pick rows; beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 _shipped: set[str] = set()
 
 
@@ -74,6 +76,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def picked(small: DataFrame) -> DataFrame:
+    """A written table that picks rows of a large one; broadcast if its counted rows allow it."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def single(df: DataFrame) -> Any:
     """The one row of an ungrouped aggregate."""
     return df.collect()[0]

@@ -22,7 +22,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linderos.llm.common import fingerprint, single, spare_name, written
+from linderos.llm.common import fingerprint, picked, single, spare_name, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -151,7 +151,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, do
     """The rows of `docs` without a hit, columns unchanged."""
     hit = _contaminated_keys(docs, benchmark, n, doc_id=doc_id, text=text, **options)
     i, p = spare_name(docs, "hit_id"), spare_name(docs, "hit_print")
-    hit = hit.select(F.col("doc_id").alias(i), F.col("print").alias(p))
+    hit = picked(hit.select(F.col("doc_id").alias(i), F.col("print").alias(p)))
     return docs.join(hit, F.col(doc_id).eqNullSafe(F.col(i)) & (fingerprint(F.col(text)) == F.col(p)), "left_anti")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql.types import (
     BinaryType, IntegerType, LongType, StructField, StructType,
 )
 
-from linderos.llm.common import fingerprint, single, spare_name, written
+from linderos.llm.common import fingerprint, picked, single, spare_name, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -47,8 +47,6 @@ TOLERANCE = 1e-6
 CELL = 512
 PAIRS_AT_ONCE = 1 << 18
 SEED = 7_919
-#: Largest list of documents (about 100 MB in memory) that is broadcast to pick rows; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 _WORD = re.compile(r"\w+")
 _WORDS_CACHED = 200_000
@@ -318,11 +316,6 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": pdf["key"], "shingles": [shingles(t).tobytes() for t in pdf["text"]]})
 
 
-def picked(small: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its counted rows allow it."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def links(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
     """key, root, texts, docs: for each cell and key, its exact links there; written once."""
     def streamed(rows: DataFrame) -> DataFrame:
