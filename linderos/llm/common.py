@@ -12,13 +12,21 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole documents in an Arrow batch.  Spark's 10,000 rows are meant for numbers; workers hold a few copies of a batch.
+BATCH_ROWS = 1_000
 #: Largest list of documents (about 100 MB in memory) that is broadcast to pick rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application; Spark's file server carries it."""
+    """Make this package importable in Python workers, once per application; Spark's file server carries it.
+
+    Also sets the rows of an Arrow batch to BATCH_ROWS where the session has not set it, to bound the workers' memory.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
