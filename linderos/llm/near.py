@@ -44,7 +44,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-CELL = 512
+CELL = 256
 PAIRS_AT_ONCE = 1 << 18
 SEED = 7_919
 
