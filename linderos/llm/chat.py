@@ -5,6 +5,9 @@ Grammar of the rendered text (the template):
     conversation := turn*
     turn         := "<|im_start|>" role "\n" content "<|im_end|>" "\n"
 
+Neither role nor content holds a control string: a turn ends at its first "<|im_end|>", wherever in a line that is, and
+only a line break may follow it.
+
 A text may hold the control strings itself.  Each turn is rendered, parsed back with the parser of this module and
 compared with its source; while they differ, the control strings inside role and content get one backslash after
 "<|", which the parser takes away again.  The escape is injective: a control string that already has backslashes gets
@@ -72,12 +75,13 @@ class Parser:
     def feed(self, piece: str) -> Iterator[tuple[str, str]]:
         self._rest += piece
         at = 0
-        while (end := self._rest.find(END + "\n", at)) >= 0:
+        # A turn ends at END itself; what comes behind it must be known before the turn is judged.
+        while 0 <= (end := self._rest.find(END, at)) < len(self._rest) - len(END):
             if not self._rest.startswith(START, at):
                 raise ValueError("a turn must begin with " + START)
             body = self._rest[at + len(START):end]
             role, line_break, content = body.partition("\n")
-            if not line_break or START in body:
+            if not line_break or START in body or self._rest[end + len(END)] != "\n":
                 raise ValueError("malformed turn")
             yield unescape_role(role), unescape(content)
             at = end + len(END) + 1

@@ -28,6 +28,33 @@ def test_texts_without_control_strings_stay_as_they_are():
     assert chat.recovered("no grammar") is None
 
 
+LONE_ENDS = ["foo <|im_end|> bar", "foo <|im_end|>", "<|im_end|>", "a\n<|im_end|>b\n", "<|im_end|><|im_end|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES, PIECES)
+def test_no_control_string_stays_live_inside_a_turn(role, text):
+    body = chat.render_turn(role, text).removeprefix(chat.START).removesuffix(chat.END + "\n")
+    assert chat.START not in body and chat.END not in body
+
+
+def test_a_lone_end_is_escaped_in_texts_and_roles():
+    for text in LONE_ENDS:
+        assert chat.render_turn("user", text) == f"<|im_start|>user\n{chat.escape(text)}<|im_end|>\n"
+    assert chat.render_turn("a <|im_end|> b", "x") == "<|im_start|>a <|\\im_end|> b\nx<|im_end|>\n"
+    assert chat.recovered("<|im_start|>user\nfoo <|im_end|> bar<|im_end|>\n") is None
+
+
+def test_lone_ends_against_sql(spark, duck, tmp_path):
+    given = [(n, k, role, text) for n, text in enumerate(LONE_ENDS) for k, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(given, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = op1_chat_formatting(spark, str(tmp_path))
+    found = duck.sql(oracle.OP1)
+    order = [found.columns.index(c) for c in df.columns]
+    assert sorted(tuple(r[i] for i in order) for r in found.fetchall()) == sorted(tuple(r) for r in df.collect())
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string")
 
