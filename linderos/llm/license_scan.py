@@ -1,7 +1,9 @@
 """License scan: a trained paragraph classifier, calibrated, and confirmed by comparison with templates.
 
-A paragraph is a line; a line of more than WINDOW words is read in windows of WINDOW words, half overlapping, so that a
-notice inside long text is not diluted.  The classes are the families of TEMPLATES and `unknown`.
+Consecutive lines with words form a paragraph, so that a hard-wrapped notice is read as a whole.  Lines and paragraphs of
+more than WINDOW words are read in windows of WINDOW words, half overlapping, so that a notice inside long text is not
+diluted: the windows of each line, and those of each paragraph that reach over a line break.  The classes are the
+families of TEMPLATES and `unknown`.
 
 * Features: hashed word 1- to 3-grams, BUCKETS of them; the score of a paragraph is the sum of their weights over the
   square root of their number.
@@ -9,8 +11,14 @@ notice inside long text is not diluted.  The classes are the families of TEMPLAT
   words in random order and paragraphs of the corpus as `unknown` (those of SAMPLE_DOCS documents at most, SAMPLE_LINES
   of them at most; documented bounds).  Multinomial logistic regression with L2 penalty.
 * Calibration: every fifth example is held out; one temperature and one offset of `unknown` minimise its log loss there.
-* A paragraph is a candidate when its calibrated probability of a family is LEAST or more, and confirmed when it shares
-  CONFIRM of a template's trigrams, or a template holds CONFIRM of the paragraph's.
+* A window is a candidate when its calibrated probability of a family is LEAST or more.  A candidate is compared with the
+  templates of every family, since it may hold several notices and the probabilities of one window add up to 1.
+* A family is confirmed when the window shares CONFIRM of a template's trigrams, or a template holds CONFIRM of the
+  window's, and DECIDE of the template's own trigrams (no other family has them) or DECIDE of what was shared is its own:
+  words that several families have in common, as at the head of GPL and AGPL notices, name none of them.  They only
+  lengthen a confirmed span of the family that they overlap.
+* A span is the window, or in one that reaches over a line break the words from the first to the last shared trigram.
+* n_paragraphs counts windows, n_unconfirmed candidates that are in no reported span.
 
 Whole texts of all documents are classified.  Defined results: null text counts as empty; repeated rows are reported
 alike; other columns do not matter; with an empty table nothing is trained on it and nothing is returned.
@@ -98,6 +106,7 @@ STEP = 8.0
 PENALTY = 1e-5
 LEAST = 0.1
 CONFIRM = 0.6
+DECIDE = 0.5
 SEED = 5
 
 _TOKEN = re.compile(r"\w+|\n")
@@ -143,6 +152,20 @@ def paragraphs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.where(windows[which] == 1, end[which], np.minimum(start + WINDOW, end[which]))
 
 
+def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words without the breaks inside paragraphs, and first and end of each window among them.
+
+    A line without words ends a paragraph.  Windows of a line have the same n-grams in the joined words.
+    """
+    breaks = ids == 0
+    kept = ~breaks | np.r_[breaks[1:], True]
+    at, number = np.flatnonzero(kept), np.cumsum(kept) - 1
+    first, last = paragraphs(ids)
+    start, end = paragraphs(ids[at])
+    across = at[end - 1] - at[start] > end - 1 - start
+    return at, np.r_[number[first], start[across]], np.r_[number[last - 1] + 1, end[across]]
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # BUCKETS x families
@@ -267,16 +290,33 @@ def calibrate(scores: np.ndarray, classes: np.ndarray) -> tuple[float, float]:
 
 
 _TEMPLATE_GRAMS = {family: [trigrams(words_of(t)) for t in texts] for family, texts in TEMPLATES.items()}
+_OTHERS = {
+    family: set().union(*(g for other, texts in _TEMPLATE_GRAMS.items() if other != family for g in texts)) for family in TEMPLATES
+}
 
 
-def likeness(family: str, words: list[str]) -> float:
-    """The largest share of a template's trigrams that the paragraph has, or of the paragraph's that a template has."""
-    own = trigrams(words)
-    best = 0.0
-    for grams in _TEMPLATE_GRAMS[family]:
-        common = len(own & grams)
-        best = max(best, common / len(grams), common / len(own) if len(own) >= 4 else 0.0)
-    return best
+def likenesses(words: list[str]) -> dict[str, tuple[float, bool, int, int]]:
+    """Families of which a template is alike: the largest share, whether trigrams of their own decide for them, and the
+    first word and end of what is shared.
+
+    The share is that of a template's trigrams that the window has, or of the window's that a template has.
+    """
+    width = min(3, len(words))
+    listed = [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
+    own = set(listed)
+    found: dict[str, tuple[float, bool, int, int]] = {}
+    for family, texts in _TEMPLATE_GRAMS.items():
+        for grams in texts:
+            common = own & grams
+            alike = max(len(common) / len(grams), len(common) / len(own) if len(own) >= 4 else 0.0)
+            if alike < CONFIRM:
+                continue
+            only = len(common - _OTHERS[family])
+            decided = only > 0 and only >= DECIDE * min(len(common), len(grams - _OTHERS[family]))
+            shared = [i for i, g in enumerate(listed) if g in common]
+            best, before, first, end = found.get(family, (0.0, False, len(words), 0))
+            found[family] = (max(best, alike), before or decided, min(first, shared[0]), max(end, shared[-1] + width))
+    return found
 
 
 SPAN = StructType([
@@ -290,43 +330,43 @@ RESULT = StructType([
 
 
 def scan(texts: list[str], model: Model) -> list[tuple[int, int, list[tuple]]]:
-    """(paragraphs, unconfirmed ones, confirmed spans) of each text; all texts are scored together."""
-    tokens = [_TOKEN.findall(t.lower() + "\n") for t in texts]
+    """(windows, unconfirmed candidates, confirmed spans) of each text; all texts are scored together."""
+    tokens = [_TOKEN.findall(t.lower() + "\n\n") for t in texts]
     ids = word_ids([w for words in tokens for w in words])
     ends = np.cumsum([len(words) for words in tokens])
-    start, end = paragraphs(ids)
-    owner = np.searchsorted(ends, start, side="right")
-    p = model.probabilities(model.scores(ids, start, end))
-    best = p[:, :-1].argmax(axis=1)
-    likely = np.flatnonzero(p[np.arange(len(p)), best] >= LEAST)
-    counts = np.bincount(owner, minlength=len(texts))
-    out: list[tuple[int, int, list[tuple]]] = [(int(c), 0, []) for c in counts]
+    at, start, end = windows(ids)
+    owner = np.searchsorted(ends, at[start], side="right")
+    p = model.probabilities(model.scores(ids[at], start, end))
+    likely = np.flatnonzero(p[:, :-1].max(axis=1) >= LEAST)
+    candidates, counts = (np.bincount(d, minlength=len(texts)).tolist() for d in (owner[likely], owner))
+    spans: list[list[tuple]] = [[] for _ in texts]
     for k in likely:
-        d, family = int(owner[k]), FAMILIES[best[k]]
-        before = int(ends[d - 1]) if d else 0
-        a, b = int(start[k]) - before, int(end[k]) - before
-        alike = likeness(family, tokens[d][a:b])
-        n, unconfirmed, spans = out[d]
-        if alike < CONFIRM:
-            out[d] = (n, unconfirmed + 1, spans)
-            continue
-        spans.append((family, a, b, float(p[k, best[k]]), alike))
-    for d, (_, _, spans) in enumerate(out):
-        if spans:
-            places = [m.span() for m in _TOKEN.finditer(texts[d] + "\n")]
-            spans[:] = joined([(f, places[a][0], places[b - 1][1], q, s) for f, a, b, q, s in spans])
+        d = int(owner[k])
+        places = at[start[k]:end[k]] - (int(ends[d - 1]) if d else 0)
+        across = places[-1] - places[0] >= len(places)
+        for family, (alike, decided, a, b) in likenesses([tokens[d][i] for i in places]).items():
+            if not across:
+                a, b = 0, len(places)
+            spans[d].append((family, int(places[a]), int(places[b - 1]), float(p[k, FAMILIES.index(family)]), alike, decided, {int(k)}))
+    out = []
+    for d, some in enumerate(spans):
+        if some:
+            places = [m.span() for m in _TOKEN.finditer(texts[d])]
+            some = joined([(f, places[a][0], places[b][1], *rest) for f, a, b, *rest in some])
+        confirmed = set().union(*(span[6] for span in some))
+        out.append((counts[d], candidates[d] - len(confirmed), [span[:5] for span in some]))
     return out
 
 
 def joined(spans: list[tuple]) -> list[tuple]:
-    """Spans of one family that overlap (windows of one line) as one, with the best probability and likeness."""
+    """Spans of one family that overlap as one, with the best probability and likeness, where one of them is decided."""
     out: list[tuple] = []
-    for span in sorted(spans):
+    for span in sorted(spans, key=lambda s: s[:3]):
         if out and out[-1][0] == span[0] and span[1] < out[-1][2]:
-            f, a, b, q, s = out.pop()
-            span = (f, a, max(b, span[2]), max(q, span[3]), max(s, span[4]))
+            f, a, b, q, s, decided, among = out.pop()
+            span = (f, a, max(b, span[2]), max(q, span[3]), max(s, span[4]), decided or span[5], among | span[6])
         out.append(span)
-    return sorted(out, key=lambda s: (s[1], s[0]))
+    return sorted((s for s in out if s[5]), key=lambda s: (s[1], s[0]))
 
 
 def corpus_lines(docs: DataFrame) -> list[list[str]]:

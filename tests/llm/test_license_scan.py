@@ -24,6 +24,39 @@ def test_templates_are_found(model):
             assert family in families(text, model)
 
 
+def test_two_notices_on_one_line(model):
+    assert families("Copyright 2020 A. Author. All rights reserved. Licensed under the Apache License, Version 2.0.", model) == ["apache", "proprietary"]
+    assert sorted(families("Licensed under the Apache License, Version 2.0, or the MIT license.", model)) == ["apache", "mit"]
+    both = "This work is licensed under the GNU General Public License, version 3, or the GNU Affero General Public License, version 3."
+    assert sorted(families(both, model)) == ["agpl", "gpl"]
+
+
+WRAPPED = """{before}This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name} as published
+by the Free Software Foundation, either version 3 of the License.
+"""
+
+
+def test_wrapped_notices(model):
+    for before in ("", "Prose: a tool of the harbour office\n", PROSE[0] + "\n\n"):
+        assert families(WRAPPED.format(before=before, name="General Public License"), model) == ["gpl"]
+        assert families(WRAPPED.format(before=before, name="Affero General Public License"), model) == ["agpl"]
+        assert families(WRAPPED.format(before=before, name="Lesser General Public License"), model) == ["lgpl"]
+    text = PROSE[0] + "\nReleased under\nthe MIT\nLicense.\n" + PROSE[1]
+    (family, start, end, _, _), = s.scan([text], model)[0][2]
+    assert (family, text[start:end]) == ("mit", "Released under\nthe MIT\nLicense")
+    assert families("Released under the\n\nMIT License.", model) == []
+
+
+def test_words_that_several_families_have_name_none(model):
+    n, unconfirmed, spans = s.scan(["This program is free software: you can redistribute it and/or modify"], model)[0]
+    assert (n, unconfirmed, spans) == (1, 1, [])
+
+
+def test_texts_are_not_joined_with_each_other(model):
+    assert [found[2] for found in s.scan(["Released under the", "MIT License.", ""], model)] == [[], [], []]
+
+
 def test_inside_long_lines(model):
     long = " ".join(PROSE)
     assert families(f"{long} {long} Released under the MIT License. {long}", model) == ["mit"]
