@@ -8,8 +8,9 @@ families of TEMPLATES and `unknown`.
 * Features: hashed word 1- to 3-grams, BUCKETS of them; the score of a paragraph is the sum of their weights over the
   square root of their number.
 * Training, on the driver, of bounded size: variants of the templates (other words around them, words left out), the same
-  words in random order and paragraphs of the corpus as `unknown` (those of SAMPLE_DOCS documents at most, SAMPLE_LINES
-  of them at most; documented bounds).  Multinomial logistic regression with L2 penalty.
+  words in random order and windows of the corpus as `unknown`: SAMPLE_WINDOWS at most, from anywhere in the whole texts of
+  SAMPLE_DOCS documents at most.  Both are chosen by hashes over the whole table, so that the model does not change with
+  the layout of its files.  These bounds hold for training only.  Multinomial logistic regression with L2 penalty.
 * Calibration: every fifth example is held out; one temperature and one offset of `unknown` minimise its log loss there.
 * A window is a candidate when its calibrated probability of a family is LEAST or more.  A candidate is compared with the
   templates of every family, since it may hold several notices and the probabilities of one window add up to 1.
@@ -30,6 +31,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -100,7 +102,7 @@ BUCKETS = 1 << 16
 ORDERS = 3
 VARIANTS = 30
 SAMPLE_DOCS = 400
-SAMPLE_LINES = 2_000
+SAMPLE_WINDOWS = 2_000
 EPOCHS = 50
 STEP = 8.0
 PENALTY = 1e-5
@@ -369,15 +371,35 @@ def joined(spans: list[tuple]) -> list[tuple]:
     return sorted((s for s in out if s[5]), key=lambda s: (s[1], s[0]))
 
 
-def corpus_lines(docs: DataFrame) -> list[list[str]]:
-    texts = docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE_DOCS).collect()
-    lines = [words_of(line)[:WINDOW] for r in texts for line in r["text"].split("\n")]
-    return lines[:SAMPLE_LINES]
+def text_windows(text: str) -> list[list[str]]:
+    """Words of every window of a whole text."""
+    tokens = _TOKEN.findall(text.lower() + "\n\n")
+    at, start, end = windows(word_ids(tokens))
+    return [[tokens[i] for i in at[a:b]] for a, b in zip(start, end)]
+
+
+def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SAMPLE_WINDOWS windows of each text at most, numbered in the order of a hash of the document and their words."""
+    for pdf in batches:
+        for key, text in zip(pdf["key"], pdf["text"]):
+            ranked = [(xxhash.xxh3_64_intdigest(" ".join(words), seed=key & (1 << 64) - 1) >> 1, words) for words in text_windows(text)]
+            some = nsmallest(SAMPLE_WINDOWS, ranked)
+            if some:
+                yield pd.DataFrame({"number": range(len(some)), "hash": [h for h, _ in some], "words": [words for _, words in some]})
+
+
+def corpus_windows(docs: DataFrame) -> list[list[str]]:
+    """Windows of documents chosen by a hash of id and text over the whole table: the same rows give the same windows,
+    however they are stored.  Each document gives one window before any gives its next."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = texts.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    found = keyed.orderBy("key").limit(SAMPLE_DOCS).mapInPandas(sampled, "number long, hash long, words array<string>")
+    return [list(r["words"]) for r in found.orderBy("number", "hash", "words").limit(SAMPLE_WINDOWS).collect()]
 
 
 def scan_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, n_unconfirmed, spans of every row; trains a model unless one is given."""
-    model = model or train(corpus_lines(docs))
+    model = model or train(corpus_windows(docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

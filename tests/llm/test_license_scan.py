@@ -53,6 +53,17 @@ def test_words_that_several_families_have_name_none(model):
     assert (n, unconfirmed, spans) == (1, 1, [])
 
 
+def test_training_windows_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(s, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(s, "SAMPLE_WINDOWS", 30)
+    given = [(i, f"\n\nfirst{i} line\n" + " ".join(f"w{i}x{k}" for k in range(5_000))) for i in range(60)] + [(60, None), (61, "")]
+    frame = documents(spark, given)
+    one = s.corpus_windows(frame.coalesce(1).orderBy("doc_id"))
+    assert one == s.corpus_windows(frame.repartition(7).sortWithinPartitions(s.F.desc("doc_id"))) and len(one) == 30
+    places = [(int(w[-1][1:].split("x")[0]), int(w[-1].split("x")[1])) for w in one if "x" in w[-1]]
+    assert len({i for i, _ in places}) >= 19 and any(k > 4_000 for _, k in places)
+
+
 def test_texts_are_not_joined_with_each_other(model):
     assert [found[2] for found in s.scan(["Released under the", "MIT License.", ""], model)] == [[], [], []]
 
