@@ -5,7 +5,8 @@ Three base kinds are always reported: `assign` (a secret-like name with a value)
 parts lie near them in the same scope:
 
 * `login`: a client, user or key identifier with a value; needs a secret part near it.
-* `secret_key`: a run of 40 base64 characters with capitals, small letters and digits; needs an identifier near it.
+* `secret_key`: a run of 40 base64 characters or more, up to two `=` behind it included, with capitals, small letters and
+  digits; needs an identifier near it.
 * `endpoint`: a URL with scheme; needs an identifier and a secret near it.
 
 A scope is a block of text between blank lines.  Parts are linked by an interval join inside the scope: the intervals
@@ -43,7 +44,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LOGIN = re.compile(r"""(client_?id|access_?key_?id|key_?id|user_?name|account|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", _FLAGS)
 _LOGIN_NAMES = ("client", "keyid", "key_id", "username", "user_name", "account", "login")
-_SECRET_KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+_SECRET_KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}+(?!=)")
 _ENDPOINT = re.compile(r"""(?:https?|wss?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]+""", _FLAGS)
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 

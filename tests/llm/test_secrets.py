@@ -43,6 +43,16 @@ def test_weak_parts_need_complements():
     assert kinds("user_name=anna") == []
 
 
+def test_keys_of_any_length_from_40():
+    for key in (SECRET, SECRET + "A1b2", SECRET + "A" * 24, SECRET * 2 + "A1b2c3==", SECRET + "=", "A1b2" * 50_000):
+        text = f"key {ACCESS} and {key} here"
+        spans = [(x.kind, text[x.start:x.end]) for x in s.scan(text)]
+        assert spans == [("access", ACCESS), ("secret_key", key)]
+        assert kinds(f"value {key} alone") == []
+    for key in (SECRET[:39], SECRET + "===", SECRET.lower()):
+        assert kinds(f"key {ACCESS} and {key} here") == ["access"]
+
+
 def test_scope_and_reach_bound_links():
     assert kinds(f"{ACCESS}\n\n{SECRET}") == ["access"]
     assert kinds(ACCESS + " " + "x " * s.REACH + SECRET) == ["access"]
