@@ -67,16 +67,16 @@ def matrix_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _registry_file(spark: SparkSession, sf_dir: str) -> R1List:
-    """The parcel numbers as a CSV file on shared storage, read back by the loader: a byte-order mark, quoted fields, line
-    breaks in a field, blanks around and instead of numbers, and repeats."""
+    """The parcel numbers as CSV files on shared storage, read back by the loader: a byte-order mark, quoted fields, line
+    breaks in a field, blanks around and instead of numbers, and repeats.  Each task writes a file with its own header."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linderos-")
     path = f"{folder.rstrip('/')}/registro-{uuid.uuid4().hex}"
     number = F.col("numero_predial_nacional")
     lines = tables(spark, sf_dir)["predio"].select(
-        F.concat_ws(",", F.lit('"linea 1\n""linea"" 2"'), F.concat(F.lit("  "), F.coalesce(number, F.lit("")), F.lit("\t"))).alias("value"))
+        F.lit('linea 1\n"linea" 2').alias("obs"), F.concat(F.lit("  "), F.coalesce(number, F.lit("")), F.lit("\t")).alias("Numero_Predial"))
+    lines.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     head = spark.createDataFrame([("\ufeffobs,Numero_Predial",), ('x,"A\nB, ""C"""',), ("x,   ",)], "value string").coalesce(1)
-    # Each file needs its own header, so the rows are written as one file; the list is small against the tables.
-    head.unionAll(lines).coalesce(1).write.text(path)
+    head.write.mode("append").text(path)
     return read_r1_csv(spark, path)
 
 

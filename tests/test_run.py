@@ -40,6 +40,18 @@ def test_r1_csv(spark, r1_csv, tmp_path):
         read_r1_csv(spark, str(tmp_path / "other.csv"))
 
 
+def test_registry_list_is_written_by_many_tasks(spark, monkeypatch):
+    import __spark_entry__ as driver
+
+    given = driver.tables(spark, driver.SMOKE)["predio"]
+    want = driver.r1_counts(spark, driver.SMOKE).collect(), bag(driver.load_r1(spark, driver.SMOKE).collect())
+    monkeypatch.setattr(driver, "tables", lambda *_: {"predio": given.repartition(5)})
+    files = driver._registry_file(spark, driver.SMOKE).rows.inputFiles()
+    assert len(files) == 6 and max(spark.read.text(f).count() for f in files) < given.count()
+    assert (driver.r1_counts(spark, driver.SMOKE).collect(), bag(driver.load_r1(spark, driver.SMOKE).collect())) == want
+    assert ("A\nB, \"C\"",) in want[1] and want[0][0]["filas"] == given.where("trim(numero_predial_nacional) <> ''").count() + 1
+
+
 def test_r1_csv_dialect(spark, tmp_path):
     """Quotes, a line break in a field, short and long rows."""
     path = tmp_path / "r1.csv"
