@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linderos.llm import ann, chat, decontaminate, license_scan, near, oracle, quality, secrets, sentencepiece, token_counts, token_file
+from linderos.llm import (
+    ann, chat, decontaminate, lattice, license_scan, near, oracle, permuterm, quality, secrets, sentencepiece, token_counts, token_file, whitening,
+)
 from linderos.llm.common import read_table, ship_package
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -108,11 +110,33 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector on the first four whitening components."""
+    rows, model = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    if not len(model.explained):
+        rows = rows.limit(0)  # no direction varies
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*[F.lit(float(s)) for s in model.explained]).cast("array<double>")
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.centre.n).cast("long").alias("n"), "deviation",
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and keeper of each vector at a cosine of 0.9 or more."""
+    return lattice.near_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent form of each word, and the last form that its forms lead to."""
+    return permuterm.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: shipped(f) for f in (
         op1_chat_formatting, op2_quality_classifier, op3_benchmark_decontamination, op4_nearest_neighbours,
         op5_sentencepiece_codec, op6_secret_scans, op7_token_counts, op8_license_scans, op9_token_id_output,
-        op10_ngram_jaccard_join,
+        op10_ngram_jaccard_join, op11_embedding_whitening, op12_embedding_near_dedup, op13_spelling_variants,
     )
 }
 ORACLES = oracle.ORACLES
