@@ -55,7 +55,8 @@ class Rule:
     """A catalogue entry: parts, or for user rules a DataFrame builder or SQL text.
 
     `sql` must select the six finding columns in order; `parametros` are bound
-    into it with str.format.  A `build` function gets the run's tables.
+    as typed values to its `:name` markers, or, if it has none, put in with
+    str.format.  A `build` function gets the run's tables.
     """
 
     id: str

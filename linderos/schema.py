@@ -49,6 +49,9 @@ TABLES: dict[str, T.StructType] = {
     "uc_vertices": _struct("uc_id:long ring:int seq:int x:double y:double"),
 }
 
+# Columns that a table may have beyond those.
+OPTIONAL: dict[str, T.StructType] = {"uc_vertices": _struct("parte:int")}
+
 # The six columns a rule yields, in order.
 FINDING = ("tabla", "t_id", "clave_negocio", "mensaje", "valor_actual", "valor_esperado")
 

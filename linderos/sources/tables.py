@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..schema import TABLES
+from ..schema import OPTIONAL, TABLES
 from .r1 import R1_VIEW, registry_numbers
 
 # Short names, with key columns renamed so that joined frames have no clashes.
@@ -36,7 +36,7 @@ def _casts(df: DataFrame, table: str) -> dict[str, tuple[str, Column | None]]:
     present = {c.lower(): c for c in df.columns}
     kinds = dict(df.dtypes)
     found = {}
-    for field in TABLES[table].fields:
+    for field in (*TABLES[table].fields, *(OPTIONAL[table].fields if table in OPTIONAL else ())):
         actual = present.get(field.name.lower())
         if actual is not None:
             same = kinds[actual] == field.dataType.simpleString()
@@ -61,8 +61,10 @@ class Cadastre:
         self.frames = {name: conform(df, name) if name in TABLES else df for name, df in frames.items() if name != R1_VIEW}
         if R1_VIEW in frames:
             # A list that comes as a table is held to the same as one that comes as a file: stripped, not blank, distinct.
-            self.frames[R1_VIEW] = registry_numbers(frames[R1_VIEW]).numbers
+            self._registry = registry_numbers(frames[R1_VIEW])
+            self.frames[R1_VIEW] = self._registry.numbers
         self.kept: dict[str, DataFrame] = {}  # relations written for a run, by name
+        self.hot: frozenset[str] = frozenset()  # counts of children that one parcel has too many of
         self._short: dict[str, DataFrame] = {}
 
     def has(self, short: str) -> bool:
@@ -75,9 +77,15 @@ class Cadastre:
         if short not in self._short:
             df = self.frames[table]
             # Declared columns only: other ones could clash when frames are joined.
-            self._short[short] = df.select(*[f.name for f in TABLES[table].fields if f.name in df.columns]).withColumnsRenamed(names)
+            known = (*TABLES[table].names, *(OPTIONAL[table].names if table in OPTIONAL else ()))
+            self._short[short] = df.select(*[name for name in known if name in df.columns]).withColumnsRenamed(names)
         return self._short[short]
 
+    def registry_rows(self) -> DataFrame:
+        """The registry list with its repeats, for uses that aggregate it anyway."""
+        self["r1"]
+        return self._registry.rows.withColumnsRenamed(_SHORT["r1"][1])
+
     def with_r1(self, numbers: DataFrame | None) -> "Cadastre":
         """The same tables with another registry list, or with none."""
         frames = {name: df for name, df in self.given.items() if name != R1_VIEW}

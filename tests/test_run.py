@@ -215,3 +215,178 @@ def test_tables_from_files(spark, tables, tmp_path):
     assert loaded["terreno"].schema["predio"].dataType.simpleString() == "bigint"
     assert loaded["terreno"].count() == tables["terreno"].count()
     assert len(select_rules(["terreno"])) == 2
+
+
+# ------------------------------------------------------------------ commit log and resumable runs
+
+
+def counts(summary):
+    return {rule_id: n for rule_id, _, _, n in summary.por_regla}
+
+
+def test_a_killed_frame_takes_only_its_rules_along(spark, tables, tmp_path):
+    from linderos.plans.run import cancel_frame
+
+    path, seen = str(tmp_path / "v"), []
+
+    def kill(run, frame):
+        seen.append(frame)
+        if frame == "folio_repetido":
+            cancel_frame(spark, run, frame)
+
+    whole = run_rules(tables, categorias=["duplicados", "registral"], output=str(tmp_path / "w"))
+    cut = run_rules(tables, categorias=["duplicados", "registral"], output=path, on_frame=kill)
+    assert cut.inconclusas == ("R-18",) and counts(cut) == counts(whole) | {"R-18": -1} and "R-18" in cut.fallos
+    assert sorted(seen) == ["folio_repetido", "numero_repetido", "predio"]
+    seen.clear()
+    again = run_rules(tables, categorias=["duplicados", "registral"], output=path, resume=cut.corrida, on_frame=lambda run, frame: seen.append(frame))
+    assert seen == ["folio_repetido"] and counts(again) == counts(whole) and again.corrida == cut.corrida
+    assert read_violations(spark, path).count() == whole.total
+
+
+def test_rules_that_were_not_finished_keep_earlier_rows(spark, tables, tmp_path):
+    from linderos.plans.run import cancel_frame
+
+    path = str(tmp_path / "v")
+    first = run_rules(tables, categorias=["duplicados"], output=path)
+    clean = Cadastre(spark, tables.given | {"cca_predio": tables.given["cca_predio"].limit(0)})
+    kill = lambda run, frame: cancel_frame(spark, run, frame) if frame == "folio_repetido" else None
+    run_rules(clean, categorias=["duplicados"], output=path, on_frame=kill)
+    left = {r["regla_id"]: r["count"] for r in read_violations(spark, path).groupBy("regla_id").count().collect()}
+    assert left == {"R-18": counts(first)["R-18"]}
+    assert read_violations(spark, path, version=1).count() == first.total
+
+
+def test_a_run_that_dies_leaves_frames_to_resume_from(spark, tables, tmp_path, monkeypatch):
+    from linderos.plans import run as runs
+
+    path, started = str(tmp_path / "v"), []
+
+    def die(*_, **__):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(runs, "commit", die)
+    with pytest.raises(KeyboardInterrupt):
+        run_rules(tables, categorias=["duplicados"], output=path, on_frame=lambda run, frame: started.append((run, frame)))
+    monkeypatch.undo()
+    assert read_violations(spark, path).count() == 0 and len(started) == 2
+    again = run_rules(tables, categorias=["duplicados"], output=path, resume=started[0][0].split('/')[0], on_frame=lambda run, frame: started.append((run, frame)))
+    assert len(started) == 2 and again.total == read_violations(spark, path).count() > 0
+
+
+def test_runs_that_start_together(spark, tables, tmp_path):
+    """Over one pair the second commit is refused and can be rebased; over different pairs both count; stamps differ."""
+    from linderos.plans import sink
+
+    path = str(tmp_path / "v")
+    rows = spark.createDataFrame([("R-17", "d", "duplicados", "error", "t", 1, None, None, None, None, "")], VIOLATION)
+    one, two, three = (sink.begin(spark, path) for _ in range(3))
+    for writing in (one, two):
+        sink.write_part(spark, writing, rows, ["R-17"])
+    assert sink.commit(spark, two, [("R-17", "duplicados", "error")]) == 1
+    with pytest.raises(sink.ConcurrentWrite):
+        sink.commit(spark, one, [("R-17", "duplicados", "error")])
+    assert sink.commit(spark, three, [("R-25-A", "terreno", "error")]) == 2
+    assert sink.commit(spark, sink.rebased(spark, one), [("R-17", "duplicados", "error")]) == 3
+    assert [c.run for c in sink.commits(spark, path)] == [two.run, three.run, one.run]
+    assert sink.begin(spark, path).when > one.when
+    assert [read_violations(spark, path, version=v).count() for v in (0, 1, 2, 3)] == [0, 1, 1, 1]
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    """Many commits at a time over different pairs: each gets a number, none is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from linderos.plans import sink
+
+    path = str(tmp_path / "v")
+    writings = [sink.begin(spark, path) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda k: sink.commit(spark, writings[k], [(f"X-{k}", f"c{k}", "error")]), range(8)))
+    assert sorted(versions) == list(range(1, 9)) and len(sink.snapshot(spark, path).cells) == 8
+    assert not sink.create_once(spark, f"{path}/log/{1:020d}.json", "x") and len(sink.commits(spark, path)) == 8
+
+
+def test_compaction_in_place_and_removal(spark, tables, tmp_path):
+    from linderos.plans import sink
+
+    path = str(tmp_path / "v")
+    for _ in range(2):
+        total = run_rules(tables, categorias=["duplicados", "registral"], output=path).total
+    before = bag(read_violations(spark, path).collect())
+    running = sink.begin(spark, path)
+    part = sink.write_part(spark, running, read_violations(spark, path), ["R-17"])
+    sink.compact(spark, path)
+    assert bag(read_violations(spark, path).collect()) == before and len(sink.snapshot(spark, path).parts()) == 1
+    gone = sink.vacuum(spark, path, running=[running.run])
+    assert len(gone) == 6 and part not in gone and bag(read_violations(spark, path).collect()) == before and total == len(before)
+    assert sink.vacuum(spark, path) == [part]
+
+
+def test_a_commit_being_written_is_not_seen(spark, tables, tmp_path):
+    from linderos.plans import sink
+
+    path = str(tmp_path / "v")
+    total = run_rules(tables, categorias=["duplicados"], output=path).total
+    (tmp_path / "v" / "log" / f"{2:020d}.json").write_text('{"version": 2, "ru')
+    assert read_violations(spark, path).count() == total
+    run_rules(tables, categorias=["duplicados"], output=path)
+    assert [c.version for c in sink.commits(spark, path)] == [1, 3]
+
+
+# ------------------------------------------------------------------ registry list in ranges
+
+
+def csv_reference(path, name="numero_predial"):
+    import csv
+
+    with open(path, encoding="utf-8-sig", newline="") as lines:
+        return sorted((row[name] or "").strip().replace("\r\n", "\n") for row in csv.DictReader(lines) if (row[name] or "").strip())
+
+
+@pytest.mark.parametrize("size", [7, 40, 333, 100_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_ranges_that_begin_inside_fields(spark, tmp_path, size, end):
+    import csv
+    import random
+
+    rng = random.Random(size)
+    path = tmp_path / "r1.csv"
+    pieces = ["a", '"', '""', ",", "\n", "\n\n", "é", " ", "x\ny", '",', ',"', "12"]
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.write("﻿")
+        writer = csv.writer(out, lineterminator=end)
+        writer.writerow(["obs\nvarias", "numero_predial", "más"])
+        for k in range(400):
+            texts = ["".join(rng.choices(pieces, k=rng.randrange(6))) for _ in range(2)]
+            writer.writerow([texts[0], f" {k}{texts[1]} ", "" if k % 3 else "fin\n"])
+        out.write(f'suelto"con comillas,77{end}"mal" cerrado,78,z{end}{end}corto{end}ultimo,"79')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        loaded = read_r1_csv(spark, str(path))
+        assert sorted(r[0] for r in loaded.rows.collect()) == csv_reference(path)
+        if size < 1000:
+            ranges = spark.read.text(str(path)).rdd.getNumPartitions()
+            assert ranges > path.stat().st_size / size / 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_files_of_a_folder_have_a_header_each(spark, tmp_path):
+    folder = tmp_path / "r1"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(f'numero_predial,obs\n{k},"a\nb"\n\n{k + 10},c\n', encoding="utf-8")
+    (folder / "empty.csv").write_text("", encoding="utf-8")
+    assert bag(read_r1_csv(spark, str(folder)).rows.collect()) == bag([(str(n),) for n in (0, 1, 2, 10, 11, 12)])
+
+
+def test_parameters_are_bound_as_values(spark, tables):
+    odd = "O'Brien \\ \"x\" {0} ; --"
+    given = Cadastre(spark, tables.given | {"cca_direccion": spark.createDataFrame([(1, odd), (2, "b")], "T_Id long, via string")})
+    sql = "SELECT 'cca_direccion', T_Id, NULL, 'm{0}', via, :n FROM cca_direccion WHERE via = :texto AND via RLIKE '[a-zA-Z]{2}' AND '12:00' <> via"
+    rules = [Rule(id="X-1", descripcion="", categoria="u", sql=sql, parametros={"texto": odd, "n": 3, "unused": None})]
+    summary = run_rules(given, rules=rules)
+    assert [(r.t_id, r.valor_actual, r.valor_esperado) for r in summary.violaciones.collect()] == [(1, odd, "3")]
