@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linderos.operators.areas import polygon_area as polygon_areas
 from linderos.plans.findings import rule_findings
 from linderos.plans.frames import FRAMES
-from linderos.plans.run import run_rules, summary_by_rule, summary_by_severity, violations
-from linderos.plans.sink import read_violations
+from linderos.plans.keyed import keep_shared
+from linderos.plans.run import cancel_frame, counts_by_rule, run_rules, summary_by_rule, summary_by_severity, violations
+from linderos.plans.sink import ConcurrentWrite, begin, commit, compact, read_violations, rebased, vacuum, write_part
 from linderos.rules import Rule, catalogue, select_rules
 from linderos.schema import FINDING
 from linderos.sources.r1 import R1List, read_r1_csv
@@ -40,8 +42,9 @@ def one_rule(rule) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule in one fused plan."""
-    found, failed = violations(tables(spark, sf_dir), catalogue(), NO_TIME)
+    """Every rule in one fused plan over relations that are kept for the run."""
+    kept = keep_shared(tables(spark, sf_dir), _new_folder(spark, "run"))
+    found, failed = violations(kept, catalogue(), NO_TIME)
     assert found is not None and not failed, failed
     return found.drop("fecha_validacion")
 
@@ -66,11 +69,20 @@ def matrix_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the storage that the session shares; a local master may do without such a setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="linderos-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _registry_file(spark: SparkSession, sf_dir: str) -> R1List:
     """The parcel numbers as CSV files on shared storage, read back by the loader: a byte-order mark, quoted fields, line
     breaks in a field, blanks around and instead of numbers, and repeats.  Each task writes a file with its own header."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linderos-")
-    path = f"{folder.rstrip('/')}/registro-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "registro")
     number = F.col("numero_predial_nacional")
     lines = tables(spark, sf_dir)["predio"].select(
         F.lit('linea 1\n"linea" 2').alias("obs"), F.concat(F.lit("  "), F.coalesce(number, F.lit("")), F.lit("\t")).alias("Numero_Predial"))
@@ -147,8 +159,7 @@ def isolated_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations kept after a run and a second one, of one category and severity, that finds nothing any more."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linderos-")
-    path = f"{folder.rstrip('/')}/violaciones-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "violaciones")
     whole = tables(spark, sf_dir)
     run_rules(whole, categorias=["duplicados", "registral"], output=path)
     clean = Cadastre(spark, whole.given | {"cca_predio": whole.given["cca_predio"].filter("folio_matricula is null")})
@@ -156,6 +167,88 @@ def sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_violations(spark, path).groupBy("categoria", "severidad").agg(F.count(F.lit(1)).alias("n"))
 
 
+CUT_CATEGORIES, CUT_FRAME = ["duplicados", "registral", "novedades"], "novedad_numero"
+
+
+def partial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations per rule after a run of which one frame is killed, and after that run is resumed."""
+    path, whole = _new_folder(spark, "violaciones"), tables(spark, sf_dir)
+
+    def kill(run: str, frame: str) -> None:
+        if frame == CUT_FRAME:
+            cancel_frame(spark, run, frame)
+
+    cut = run_rules(whole, categorias=CUT_CATEGORIES, output=path, on_frame=kill)
+    run_rules(whole, categorias=CUT_CATEGORIES, output=path, resume=cut.corrida)
+    states = [(1, "cortada"), (2, "retomada")]
+    counted = [counts_by_rule(read_violations(spark, path, version=v)).select(F.lit(name).alias("fase"), "regla_id", "n") for v, name in states]
+    return counted[0].unionByName(counted[1])
+
+
+def sink_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations kept, step by step, by two runs that start together: the later commit is refused, then rebased; then the
+    table is compacted in place and replaced parts are removed (their number is the last row)."""
+    path, whole = _new_folder(spark, "violaciones"), tables(spark, sf_dir)
+    clean = Cadastre(spark, whole.given | {"cca_predio": whole.given["cca_predio"].filter("folio_matricula is null")})
+    steps: list[tuple[str, str | None, str | None, int]] = []
+
+    def look(step: str) -> None:
+        kept = read_violations(spark, path).groupBy("categoria", "severidad").agg(F.count(F.lit(1)).alias("n")).collect()
+        steps.extend((step, r["categoria"], r["severidad"], r["n"]) for r in kept)
+
+    def wrote(writing, given: Cadastre, rules) -> list[tuple[str, str, str]]:
+        write_part(spark, writing, violations(given, rules, writing.when)[0], [rule.id for rule in rules])
+        return [(rule.id, rule.categoria, rule.severidad) for rule in rules]
+
+    one, two = begin(spark, path), begin(spark, path)
+    covered = wrote(two, whole, select_rules(["duplicados"]))
+    commit(spark, two, covered)
+    look("segunda")
+    covered = wrote(one, clean, select_rules(["duplicados", "registral"]))
+    try:
+        commit(spark, one, covered)
+    except ConcurrentWrite:
+        steps.append(("rechazada", None, None, 1))
+    look("rechazada")
+    commit(spark, rebased(spark, one), covered)
+    look("primera")
+    compact(spark, path)
+    steps.append(("retiradas", None, None, len(vacuum(spark, path))))
+    look("compacta")
+    return spark.createDataFrame(steps, "paso string, categoria string, severidad string, n long")
+
+
+def registry_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of the tables and the registry list seen by a user rule, and after that run and a failing one: none are left."""
+    whole = tables(spark, sf_dir)
+    registry = R1List(whole["r1"].select(F.col("r1_numero").alias("numero_predial")), whole["r1"].select(F.col("r1_numero").alias("numero_predial")))
+    bare = whole.with_r1(None)
+    listed = Rule(
+        id="X-LISTA", descripcion="lista", categoria="usuario",
+        sql="SELECT '_r1_predios', NULL, numero_predial, 'm', NULL, NULL FROM _r1_predios WHERE numero_predial < '255060000001'")
+    seen = run_rules(bare, rules=[listed], r1=registry)
+    rows = [("durante", seen.por_regla[0][3])]
+    names = ("_r1_predios", "cca_predio")
+    rows.append(("despues", sum(spark.catalog.tableExists(name) for name in names)))
+    run_rules(bare, rules=[replace(listed, sql=BROKEN.sql.replace("via", "numero_predial").replace("cca_predio", "_r1_predios"))], r1=registry)
+    rows.append(("tras_fallo", sum(spark.catalog.tableExists(name) for name in names)))
+    rows.append(("sin_lista", run_rules(bare, rules=[listed]).por_regla[0][3]))
+    return spark.createDataFrame(rows, "momento string, n long")
+
+
+QUOTED = "Lote de O'Higgins {norte} \\ \"1\""
+
+
+def user_rule_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user rule with braces in its text, whose parameters are bound as typed values: a text with quotes, and a number."""
+    rule = Rule(
+        id="X-MARCA", descripcion="marca", categoria="usuario", parametros={"texto": QUOTED, "tope": ZONE},
+        sql="SELECT 'cca_direccion', T_Id, regexp_extract(cast(predio as string), '^([0-9]{1,2})', 1), :texto, zona, :tope + 1 "
+            "FROM cca_direccion WHERE zona > :tope",
+    )
+    return rule_findings(_extended(spark, sf_dir), rule).select(*FINDING)
+
+
 def text_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the training-text operators, where that subpackage is installed."""
     try:
@@ -188,6 +281,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_rule_column": user_rule_column,
         "isolated_failure": isolated_failure,
         "sink_rerun": sink_rerun,
+        "partial_run": partial_run,
+        "sink_concurrent": sink_concurrent,
+        "registry_lifecycle": registry_lifecycle,
+        "user_rule_marker": user_rule_marker,
     }
     return found | text_queries()[0]
 
@@ -208,5 +305,9 @@ def oracle_sql() -> dict[str, str]:
         "user_rule_column": rules_sql.user_rule_column_sql(),
         "isolated_failure": rules_sql.isolated_failure_sql(),
         "sink_rerun": rules_sql.sink_rerun_sql(),
+        "partial_run": rules_sql.partial_run_sql(CUT_CATEGORIES, ["RN-23", "RN-24-A", "RN-25"]),
+        "sink_concurrent": rules_sql.sink_concurrent_sql(),
+        "registry_lifecycle": rules_sql.registry_lifecycle_sql(),
+        "user_rule_marker": rules_sql.user_rule_marker_sql(QUOTED, ZONE),
     }
     return found | text_queries()[1]

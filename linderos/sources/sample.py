@@ -11,7 +11,7 @@ and NULL cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SAMPLE_INPUTS = ("orders", "lineitem", "customer", "supplier", "nation", "events")
 
@@ -266,8 +266,11 @@ _CORNERS = [
 _HOLE = [
     (1, 0, "x0 + 1.0", "y0 + 1.0"), (1, 5, "x0 + 1.0", "y0 + 2.0"), (1, 7, "x0 + 2.0", "y0 + 2.0"), (1, 9, "x0 + 2.0", "y0 + 1.0"),
 ]
+# Coordinates are metres of a national grid: seven digits before the point, two after it.
+_GRID_EAST, _GRID_NORTH = 4_880_312.37, 2_070_845.61
 _VERTEX_BASE = f"""
-    SELECT CASE WHEN qty > 2 THEN id ELSE -id END AS uc_id, h, CAST(k % 1000 AS DOUBLE) AS x0, CAST(ln * 10 AS DOUBLE) AS y0,
+    SELECT CASE WHEN qty > 2 THEN id ELSE -id END AS uc_id, h,
+           CAST({_GRID_EAST} AS DOUBLE) + CAST(k % 1000 AS DOUBLE) AS x0, CAST({_GRID_NORTH} AS DOUBLE) + CAST(ln * 10 AS DOUBLE) AS y0,
            COALESCE(CASE WHEN {_UNIT} THEN {_PRIVATE} ELSE {_BUILT} END, 50.0) / 10.0
              + CASE WHEN h % 7 = 0 THEN 4.5 ELSE 0.07 END AS alto
     FROM ({_LINE_BASE}) lines"""
@@ -319,10 +322,23 @@ def write_sample(spark: SparkSession, sf_dir: str, location: str) -> str:
     return location
 
 
+def _set_apart(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; the named columns are made once, by a generator, and never copied into what reads them.
+
+    Catalyst pulls a projection's expressions into every filter and join condition above it.  For these long ones the
+    classes generated for a stage would be too large to compile.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(*df.columns)
+
+
 def sample_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The cadastral tables as lazy DataFrames over the sample parquet files."""
     inputs = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SAMPLE_INPUTS}
-    return {name: spark.sql(text, **inputs) for name, text in sample_sql("spark").items()}
+    frames = {name: spark.sql(text, **inputs) for name, text in sample_sql("spark").items()}
+    frames["cca_predio"] = _set_apart(frames["cca_predio"], "numero_predial_nacional", "numero_predial_matriz")
+    frames["_r1_predios"] = _set_apart(frames["_r1_predios"], "numero_predial")
+    return frames
 
 
 def sample_ctes() -> str:

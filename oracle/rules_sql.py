@@ -86,9 +86,9 @@ VIEWS = f"""
 area_uc AS (
     SELECT uc_id, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area_geo FROM (
         SELECT uc_id, ring, abs(sum(x * ny - nx * y)) / 2 AS a FROM (
-            SELECT uc_id, ring, x, y,
-                   ifnull(lead(x) OVER w, first_value(x) OVER w) AS nx,
-                   ifnull(lead(y) OVER w, first_value(y) OVER w) AS ny
+            SELECT uc_id, ring, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y,
+                   ifnull(lead(x) OVER w - first_value(x) OVER w, 0) AS nx,
+                   ifnull(lead(y) OVER w - first_value(y) OVER w, 0) AS ny
             FROM uc_vertices WINDOW w AS (PARTITION BY uc_id, ring ORDER BY seq)
         ) GROUP BY uc_id, ring) GROUP BY uc_id),
 uc AS (
@@ -140,7 +140,7 @@ parcel("R-13", f"condicion_predio = '4' AND ({cut(NP, 22, 5)} <> '80000' OR {cut
 parcel("R-14", f"{cut(NP, 22, 1)} IN ('1', '5', '6')", cut(NP, 22, 1))
 _dep, _mun = f"ifnull({cut('departamento_municipio', 1, 2)}, '25')", f"ifnull({cut('departamento_municipio', 3, 3)}, '506')"
 parcel("R-15", f"{cut(NP, 1, 2)} <> {_dep}", cut(NP, 1, 2), esperado=_dep)
-parcel("R-16", f"NOT {cut(NP, 3, 3)} = {_mun}", cut(NP, 3, 3), esperado=_mun)
+parcel("R-16", f"{cut(NP, 3, 3)} <> {_mun}", cut(NP, 3, 3), esperado=_mun)
 
 # ------------------------------------------------------------------ duplicates, registry data
 parcel("R-17", f"{NP} IS NOT NULL", NP, tail=f"QUALIFY count(*) OVER (PARTITION BY {NP}) > 1")
@@ -481,3 +481,39 @@ def sink_rerun_sql() -> str:
     return f"""SELECT categoria, severidad, count(*) AS n FROM ({violations_sql()}) v
 WHERE categoria IN ('duplicados', 'registral') AND NOT (categoria = 'duplicados' AND severidad = 'advertencia')
 GROUP BY categoria, severidad"""
+
+
+def partial_run_sql(categories: list[str], killed: list[str]) -> str:
+    """Counts of the rules outside the killed frame after the cut, of all of them after the run is resumed."""
+    listed, lost = (", ".join(f"'{x}'" for x in xs) for xs in (categories, killed))
+    return f"""WITH v AS (SELECT regla_id, count(*) AS n FROM ({violations_sql()}) w WHERE categoria IN ({listed}) GROUP BY regla_id)
+SELECT 'cortada' AS fase, regla_id, n FROM v WHERE regla_id NOT IN ({lost}) UNION ALL SELECT 'retomada', regla_id, n FROM v"""
+
+
+def sink_concurrent_sql() -> str:
+    """Parcels without folio have no R-18 row; the other rules are counted over them alone in the first run."""
+    clean = f"SELECT p.T_Id FROM (SELECT T_Id FROM cca_predio WHERE folio_matricula IS NULL) p"
+    numbers = f"SELECT {NP} FROM cca_predio WHERE folio_matricula IS NULL AND {NP} IS NOT NULL"
+    return prefix() + f""", sin_folio AS ({clean}), una AS (
+    SELECT 'duplicados' AS categoria, 'error' AS severidad, count(*) AS n FROM cca_predio
+    WHERE folio_matricula IS NULL AND {NP} IN (SELECT {NP} FROM ({numbers}) GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'registral', 'error', count(*) FROM (
+        SELECT * FROM ({SQL['R-24-A']}) UNION ALL SELECT * FROM ({SQL['R-24-B']})) r SEMI JOIN sin_folio s ON r.t_id = s.T_Id
+), dos AS (
+    SELECT 'duplicados' AS categoria, 'error' AS severidad, count(*) AS n FROM ({SQL['R-17']}) a
+    UNION ALL SELECT 'duplicados', 'advertencia', count(*) FROM ({SQL['R-18']}) b
+)
+SELECT 'segunda' AS paso, * FROM dos UNION ALL SELECT 'rechazada', NULL, NULL, 1 UNION ALL SELECT 'rechazada', * FROM dos
+UNION ALL SELECT 'primera', * FROM una UNION ALL SELECT 'compacta', * FROM una UNION ALL SELECT 'retiradas', NULL, NULL, 2"""
+
+
+def registry_lifecycle_sql() -> str:
+    return prefix() + """SELECT 'durante' AS momento, count(DISTINCT trim(numero_predial)) AS n FROM _r1_predios
+WHERE trim(numero_predial) <> '' AND trim(numero_predial) < '255060000001'
+UNION ALL SELECT 'despues', 0 UNION ALL SELECT 'tras_fallo', 0 UNION ALL SELECT 'sin_lista', -1"""
+
+
+def user_rule_marker_sql(text: str, limit: int) -> str:
+    return f"""SELECT 'cca_direccion' AS tabla, c_custkey AS t_id, left(CAST(c_custkey AS VARCHAR), 2) AS clave_negocio,
+    {q(text)} AS mensaje, CAST(c_nationkey AS VARCHAR) AS valor_actual, '{limit + 1}' AS valor_esperado
+FROM customer WHERE c_nationkey > {limit}"""

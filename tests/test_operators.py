@@ -110,3 +110,52 @@ def test_homonym_pairs(spark, cell):
     ]
     df = spark.createDataFrame(rows, "interesado_id long, numero_documento string, nombre_interesado string, razon_social string")
     assert bag(same_name_diff_id(df, cell).collect()) == bag(want)
+
+
+def _exact_area(rings):
+    """Outer rings minus holes in exact arithmetic; rings are (is hole, vertices)."""
+    from fractions import Fraction
+
+    total = Fraction(0)
+    for hole, points in rings:
+        p = [(Fraction(x), Fraction(y)) for x, y in points]
+        own = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+        total += -own if hole else own
+    return float(total)
+
+
+def test_polygon_area_on_national_grid_coordinates(spark):
+    """Areas to a square millimetre where products of raw coordinates lose tenths of a square metre; several polygons and
+    holes in a unit, rings over many segments, gaps in the order."""
+    import random
+
+    from linderos.operators.areas import polygon_area
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for uc in range(60):
+        rings = []
+        for part in range(1 + uc % 3):
+            x0, y0 = 4_880_000 + rng.random() * 1e5, 2_070_000 + rng.random() * 1e5
+            for ring in range(1 + uc % 2):
+                n, size = rng.choice([3, 4, 7, 40]), rng.uniform(1, 30) / (ring + 1)
+                import math
+                points = [(x0 + size * math.cos(2 * math.pi * k / n), y0 + size * math.sin(2 * math.pi * k / n)) for k in range(n)]
+                rings.append((ring > 0, points))
+                rows += [(uc, part, ring, 3 * k, x, y) for k, (x, y) in enumerate(points)]
+        want[uc] = _exact_area(rings)
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "uc_id long, parte int, ring int, seq int, x double, y double")
+    for segment in (10_000, 8, 3):
+        found = {r["uc_id"]: r["area_geo"] for r in polygon_area(table, segment).collect()}
+        assert found.keys() == want.keys() and max(abs(found[u] - want[u]) for u in want) < 1e-6
+    shuffled = polygon_area(table.repartition(7, "seq"), 8).collect()
+    assert {r["uc_id"]: r["area_geo"] for r in shuffled} == {r["uc_id"]: r["area_geo"] for r in polygon_area(table, 8).collect()}
+
+
+def test_polygon_area_of_wild_coordinates(spark):
+    from linderos.operators.areas import polygon_area
+
+    rows = [(1, 0, 0, 0.0, 0.0), (1, 0, 1, 1e15, 0.0), (1, 0, 2, 1e15, 1e15), (1, 0, 3, 0.0, 1e15), (2, 0, 0, 5.0, 5.0), (3, 0, 0, 1.0, None), (3, 0, 1, 2.0, 1.0)]
+    found = dict(tuple(r) for r in polygon_area(spark.createDataFrame(rows, "uc_id long, ring int, seq int, x double, y double")).collect())
+    assert found[1] == 1e30 and found[2] == 0.0 and set(found) == {1, 2, 3}
