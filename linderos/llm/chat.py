@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from linderos.llm.common import id_type, with_id
+
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNT_ROLE = "assistant"
 
@@ -40,11 +42,11 @@ _CONTROL = re.compile(r"<\|(\\*)(im_start|im_end)\|>")
 _ESCAPED = re.compile(r"<\|\\(\\*)(im_start|im_end)\|>")
 
 TURN_SCHEMA = StructType([
-    StructField("conv_id", LongType()), StructField("turn", LongType()), StructField("role", StringType()),
+    StructField("conv_id", StringType()), StructField("turn", StringType()), StructField("role", StringType()),
     StructField("text", StringType()), StructField("rendered", StringType()),
 ])
 DIGEST_SCHEMA = StructType([
-    StructField("conv_id", LongType()), StructField("n_turns", LongType()), StructField("turns_sha256", StringType()),
+    StructField("conv_id", StringType()), StructField("n_turns", LongType()), StructField("turns_sha256", StringType()),
     StructField("loss_chars", LongType()), StructField("loss_sha256", StringType()),
     StructField("formatted_chars", LongType()), StructField("n_escaped_turns", LongType()),
 ])
@@ -125,17 +127,17 @@ def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def render_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and the rendered turn, one row per row of the table; no shuffle."""
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").cast("string").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return rows.mapInPandas(render, TURN_SCHEMA)
+    return with_id(rows.mapInPandas(render, TURN_SCHEMA), id_type(conversations, "conv_id"), "conv_id").withColumn("turn", F.col("turn").cast("long"))
 
 
 class _Conversation:
     """Figures of one conversation, gathered from its rendered text turn by turn."""
 
-    def __init__(self, conv_id: int | None) -> None:
+    def __init__(self, conv_id: str | None) -> None:
         self.conv_id, self.parser = conv_id, Parser()
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = self.escaped = 0
@@ -162,15 +164,14 @@ def read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         done = []
         for conv_id, rendered in zip(pdf["conv_id"], pdf["rendered"]):
-            conv_id = None if pd.isna(conv_id) else int(conv_id)
             if current is None or current.conv_id != conv_id:
                 if current is not None:
                     done.append(current.row())
                 current = _Conversation(conv_id)
             current.add(rendered)
-        yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+        yield pd.DataFrame(done, columns=names)
     if current is not None:
-        yield pd.DataFrame([current.row()], columns=names).astype({"conv_id": "Int64"})
+        yield pd.DataFrame([current.row()], columns=names)
 
 
 def ordered_turns(rendered: DataFrame) -> DataFrame:
@@ -181,7 +182,8 @@ def ordered_turns(rendered: DataFrame) -> DataFrame:
 
 def conversation_digests(ordered: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted corpus."""
-    return ordered.select("conv_id", "rendered").mapInPandas(read_back, DIGEST_SCHEMA)
+    digests = ordered.select(F.col("conv_id").cast("string"), "rendered").mapInPandas(read_back, DIGEST_SCHEMA)
+    return with_id(digests, id_type(ordered, "conv_id"), "conv_id")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

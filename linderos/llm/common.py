@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -75,6 +76,29 @@ def spare_name(df: DataFrame | Iterable[str], stem: str) -> str:
     return name
 
 
+def id_type(df: DataFrame, name: str) -> str:
+    """The type an id column is given back in: text stays text, everything else is a long."""
+    return "string" if df.schema[name].dataType == StringType() else "long"
+
+
+def with_id(df: DataFrame, kind: str, name: str = "doc_id") -> DataFrame:
+    """Ids that went through Python as text, in their own type again.
+
+    pandas holds a long column with a null as floats, which rounds ids above 2^53; text is left alone.
+    """
+    return df if kind == "string" else df.withColumn(name, F.col(name).cast(kind))
+
+
+def smallest_keys(keyed: DataFrame, count: int, key: str = "key") -> DataFrame:
+    """The rows with the `count` smallest distinct keys, one row a key.
+
+    The keys alone are ordered; rows are then picked by the largest of them, so no task gets other rows' texts.
+    """
+    found = keyed.select(key).distinct().orderBy(key).limit(count).collect()
+    last = found[-1][0] if found else None
+    return keyed.where(F.col(key) <= F.lit(last).cast("long")).dropDuplicates([key])
+
+
 def fingerprint(text: Column) -> Column:
     """128 bits of a text, as two longs; tells rows of one id apart without carrying the text."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(17), text, F.length(text)).alias("b"))

@@ -33,10 +33,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    BinaryType, IntegerType, LongType, StructField, StructType,
+    BinaryType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from linderos.llm.common import fingerprint, picked, single, spare_name, written
+from linderos.llm.common import fingerprint, id_type, picked, single, spare_name, with_id, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -101,7 +101,7 @@ def minhashes(ids: np.ndarray) -> np.ndarray:
 
 
 SKETCH = StructType([
-    StructField("doc_id", LongType()), StructField("a", LongType()), StructField("b", LongType()),
+    StructField("doc_id", StringType()), StructField("a", LongType()), StructField("b", LongType()),
     StructField("key", BinaryType()), StructField("n", IntegerType()), StructField("sig", BinaryType()),
 ])
 
@@ -118,13 +118,14 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_print(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return source.select("doc_id", fingerprint(F.col("text")).alias("p"), "text").select("doc_id", "p.a", "p.b", "text")
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (a, b), key, n, sig of every row; written once."""
-    return written(_with_print(docs, doc_id, text).mapInPandas(_sketch, SKETCH), "sketches")
+    found = _with_print(docs, doc_id, text).mapInPandas(_sketch, SKETCH)
+    return written(with_id(found, id_type(docs, doc_id)), "sketches")
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
@@ -392,7 +393,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cell:
     names = [spare_name(docs, stem) for stem in ("near_id", "near_a", "near_b")]
     i, a, b = names
     shown = fingerprint(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (shown["a"] == F.col(a)) & (shown["b"] == F.col(b))
+    same = F.col(doc_id).cast(id_type(docs, doc_id)).eqNullSafe(F.col(i)) & (shown["a"] == F.col(a)) & (shown["b"] == F.col(b))
     listed = lambda rows: picked(rows.select(F.col("doc_id").alias(i), F.col("a").alias(a), F.col("b").alias(b)))
     kept = docs.join(listed(decided), same, "left_anti")
     repeated = decided.where("wins")

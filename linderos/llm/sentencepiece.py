@@ -33,9 +33,11 @@ import pandas as pd
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
-    ArrayType, BooleanType, IntegerType, LongType, StructField, StructType,
+    ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
+from linderos.llm.common import id_type, with_id
+
 MARKER = "▁"
 MARKER_BYTES = MARKER.encode()
 UNKNOWN_PENALTY = 10.0
@@ -296,9 +298,9 @@ def send_pieces(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(load_pieces(path))
 
 
-ENCODED = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType()))])
+ENCODED = StructType([StructField("doc_id", StringType()), StructField("ids", ArrayType(IntegerType()))])
 ROUND_TRIP = StructType([
-    StructField("doc_id", LongType()), StructField("n_chars", LongType()), StructField("n_tokens", LongType()),
+    StructField("doc_id", StringType()), StructField("n_chars", LongType()), StructField("n_tokens", LongType()),
     StructField("n_byte_tokens", LongType()), StructField("ids_crc32", LongType()), StructField("round_trip", BooleanType()),
 ])
 ENCODED_AT_ONCE = 500
@@ -311,7 +313,7 @@ def _in_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -326,7 +328,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 raise ValueError("a text did not survive encoding and decoding")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
 
-    return _source(docs).mapInPandas(encode, ENCODED)
+    return with_id(_source(docs).mapInPandas(encode, ENCODED), id_type(docs, "doc_id"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -338,7 +340,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             none = np.zeros(0, dtype="<i4")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [codec(pieces).decode(np.asarray(none if i is None else i)) for i in pdf["ids"]]})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(decode, "doc_id long, text string")
+    decoded = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(decode, "doc_id string, text string")
+    return with_id(decoded, id_type(encoded, "doc_id"))
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
@@ -354,6 +357,6 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
             for doc_id, text, raw in zip(pdf["doc_id"], pdf["text"], worker.encode(pdf["text"].to_list())):
                 ids = np.frombuffer(raw, dtype="<i4")
                 rows.append((doc_id, len(text), len(ids), int(is_byte[ids].sum()), zlib.crc32(raw), worker.decode(ids) == text))
-            yield pd.DataFrame(rows, columns=ROUND_TRIP.names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=ROUND_TRIP.names)
 
-    return _source(docs).mapInPandas(check, ROUND_TRIP)
+    return with_id(_source(docs).mapInPandas(check, ROUND_TRIP), id_type(docs, "doc_id"))
