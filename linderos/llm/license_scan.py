@@ -41,6 +41,8 @@ from pyspark.sql.types import (
     ArrayType, DoubleType, LongType, StringType, StructField, StructType,
 )
 
+from linderos.llm.common import id_type, smallest_keys, with_id
+
 # Notices of license families as their publishers word them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
@@ -326,7 +328,7 @@ SPAN = StructType([
     StructField("probability", DoubleType()), StructField("likeness", DoubleType()),
 ])
 RESULT = StructType([
-    StructField("doc_id", LongType()), StructField("n_paragraphs", LongType()), StructField("n_unconfirmed", LongType()),
+    StructField("doc_id", StringType()), StructField("n_paragraphs", LongType()), StructField("n_unconfirmed", LongType()),
     StructField("spans", ArrayType(SPAN)),
 ])
 
@@ -391,9 +393,9 @@ def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def corpus_windows(docs: DataFrame) -> list[list[str]]:
     """Windows of documents chosen by a hash of id and text over the whole table: the same rows give the same windows,
     however they are stored.  Each document gives one window before any gives its next."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     keyed = texts.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = keyed.orderBy("key").limit(SAMPLE_DOCS).mapInPandas(sampled, "number long, hash long, words array<string>")
+    found = smallest_keys(keyed, SAMPLE_DOCS).mapInPandas(sampled, "number long, hash long, words array<string>")
     return [list(r["words"]) for r in found.orderBy("number", "hash", "words").limit(SAMPLE_WINDOWS).collect()]
 
 
@@ -410,5 +412,5 @@ def scan_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "n_paragraphs": [f[0] for f in found],
                                     "n_unconfirmed": [f[1] for f in found], "spans": [f[2] for f in found]})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return source.mapInPandas(classify, RESULT)
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_id(source.mapInPandas(classify, RESULT), id_type(docs, "doc_id"))
