@@ -2,16 +2,16 @@
 
 Three base kinds are always reported: `assign` (a secret-like name with a value), `access` (access-key identifiers) and
 `hex` (long lower-case hexadecimal runs).  Three weak kinds alone mean nothing and are reported only when complementary
-parts lie near them in the same scope:
+parts lie in the same scope:
 
-* `login`: a client, user or key identifier with a value; needs a secret part near it.
+* `login`: a client, user or key identifier with a value; needs a secret part.
 * `secret_key`: a run of 40 base64 characters or more, up to two `=` behind it included, with capitals, small letters and
-  digits; needs an identifier near it.
-* `endpoint`: a URL with scheme; needs an identifier and a secret near it.
+  digits; needs an identifier.
+* `endpoint`: a URL with scheme; needs an identifier and a secret.
 
-A scope is a block of text between blank lines.  Parts are linked by an interval join inside the scope: the intervals
-of the spans, widened by REACH code points, must meet; roles are swept in order of position with binary search, so no
-pairs are listed.  Every weak span is itself subject to the same test, from strong to weak, in one fixed order: logins
+A scope is a block of text between blank lines, and the interval that parts are joined over: all parts of a scope are
+complementary, however far apart.  With `reach` only those are whose spans, widened by so many code points, meet.  Roles
+are swept in order of position with binary search, so no pairs are listed.  Every weak span is itself subject to the same test, from strong to weak, in one fixed order: logins
 and secret keys are judged against base spans and each other, endpoints against what was kept.
 
 Positions are code points, ends exclusive.  Null text counts as empty.  Each row is scanned whole and on its own, so
@@ -33,7 +33,6 @@ from linderos.llm.common import spare_name
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("login", "secret_key", "endpoint")
 KIND_ORDER = {kind: n for n, kind in enumerate(BASE_KINDS + WEAK_KINDS)}
-REACH = 300
 
 _FLAGS = re.IGNORECASE | re.ASCII
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
@@ -83,7 +82,7 @@ def weak_spans(text: str, lowered: str) -> list[Span]:
 class _Near:
     """Spans of one role, to ask whether one lies in a scope within reach of an interval."""
 
-    def __init__(self, spans: list[Span], breaks: list[int], reach: int) -> None:
+    def __init__(self, spans: list[Span], breaks: list[int], reach: float) -> None:
         self.breaks, self.reach = breaks, reach
         self.spans = sorted(spans, key=lambda s: s.start)
         self.starts = [s.start for s in self.spans]
@@ -102,8 +101,8 @@ class _Near:
         return last > 0 and self.ends[last - 1] > low
 
 
-def link(base: list[Span], weak: list[Span], breaks: list[int], reach: int = REACH) -> list[Span]:
-    """The weak spans that have their complementary parts near them."""
+def link(base: list[Span], weak: list[Span], breaks: list[int], reach: float = float("inf")) -> list[Span]:
+    """The weak spans that have their complementary parts in their scope, within reach."""
     of = lambda spans, *kinds: [s for s in spans if s.kind in kinds]
     secrets = _Near(of(base, "assign", "hex") + of(weak, "secret_key"), breaks, reach)
     identifiers = _Near(of(base, "access") + of(weak, "login"), breaks, reach)

@@ -55,7 +55,9 @@ def test_keys_of_any_length_from_40():
 
 def test_scope_and_reach_bound_links():
     assert kinds(f"{ACCESS}\n\n{SECRET}") == ["access"]
-    assert kinds(ACCESS + " " + "x " * s.REACH + SECRET) == ["access"]
+    assert kinds(ACCESS + " " + "x " * 50_000 + SECRET) == ["access", "secret_key"]
+    far = [s.Span("access", 0, 20), s.Span("secret_key", 400, 440)]
+    assert s.link(far[:1], far[1:], [], 300) == [] and s.link(far[:1], far[1:], []) == far[1:]
     assert kinds(f"{ACCESS}\n{SECRET}") == ["access", "secret_key"]
 
 
