@@ -102,11 +102,13 @@ class Codebooks:
 
 
 def fit(entries: DataFrame, count: int) -> Codebooks:
-    share = min(1.0, TRAIN / count)
-    bucket = F.pmod(F.xxhash64("entry", F.lit(SEED)), F.lit(1 << 30))
-    sample = entries.where(bucket < int(share * (1 << 30))).select("v").limit(2 * TRAIN)
-    rows = sample.collect() or entries.select("v").limit(1).collect()
-    u = unit(np.array([r["v"] for r in rows]))
+    share = min(1.0, 1.2 * TRAIN / count)
+    rank = F.xxhash64("entry", F.lit(SEED))
+    some = entries.where(F.pmod(rank, F.lit(1 << 30)) <= int(share * (1 << 30))).select("v", rank.alias("rank"), "entry")
+    sample = some.orderBy("rank", "entry").limit(TRAIN).select("v")
+    pack = lambda batches: (pdf.assign(v=[np.asarray(v, dtype="<f8").tobytes() for v in pdf["v"]]) for pdf in batches)
+    rows = sample.mapInPandas(pack, "v binary").collect() or entries.limit(1).select("v").mapInPandas(pack, "v binary").collect()
+    u = unit(np.stack([np.frombuffer(r["v"], dtype="<f8") for r in rows]))
     k = int(min(K_MOST, max(K_LEAST, round(math.sqrt(count / CELL)))))
     cut, rng = (u.shape[1] + 1) // 2, np.random.default_rng(SEED)
     second = u[:, cut:] if u.shape[1] > 1 else np.zeros((len(u), 0))
