@@ -36,6 +36,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
@@ -47,7 +48,7 @@ LINK = 0.9
 PROBES = 3
 LOAD = 256.0
 MISS = 1e-4
-BLOCK = 512
+BLOCK = 256
 DIRECTIONS, SIGNS = 128, 36
 MOST_BLOCKS, MOST_TABLES = 8, 512
 SAMPLES = 20_000
@@ -202,10 +203,23 @@ def _linkable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _packed(v: np.ndarray) -> bytes:
-    """Doubles, or floats where these hold the same values; the first byte tells."""
-    short = v.astype("<f4")
-    return b"\4" + short.tobytes() if (short == v).all() else b"\10" + v.astype("<f8").tobytes()
+def _packed(column: pa.ListArray) -> list[bytes | None]:
+    """Vectors as doubles, or as floats where these hold the same values (the first byte tells); null where null."""
+    out: list[bytes | None] = [None] * len(column)
+    valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    widths = pc.list_value_length(column.take(pa.array(valid))).to_numpy(zero_copy_only=False)
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False) + 0.0, np.cumsum(widths)  # no -0.0
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        v = flat[(ends[rows] - width)[:, None] + np.arange(width)]
+        with np.errstate(over="ignore"):
+            short = v.astype("<f4")
+        same = (short == v).all(axis=1)
+        for mark, data, some in ((b"\4", short, same), (b"\10", v.astype("<f8"), ~same)):
+            raw, size = data.tobytes(), data.itemsize * int(width)
+            for k in np.flatnonzero(some):
+                out[valid[rows[k]]] = mark + raw[k * size:(k + 1) * size]
+    return out
 
 
 def _vectors(packed: list[bytes]) -> np.ndarray:
@@ -228,7 +242,7 @@ def rows_of(table: DataFrame, id_column: str, vector: str) -> DataFrame:
 
     def pack(batches: Batches) -> Batches:
         for batch in batches:
-            vectors = [None if v is None else _packed(np.array(v) + 0.0) for v in batch.column(1).to_pylist()]
+            vectors = _packed(batch.column(1))
             prints = [None if v is None else np.frombuffer(xxhash.xxh3_128_digest(v), dtype="<i8") for v in vectors]
             halves = [pa.array([None if p is None else int(p[k]) for p in prints], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *halves, pa.array(vectors, pa.binary())], ["id", "a", "b", "v"])
@@ -353,8 +367,8 @@ def _roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def linked_pairs(v: np.ndarray, cells: np.ndarray, cell: int, allowed: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (left < right) of allowed pairs with cosine >= link whose smallest common cell is this one."""
+def linked_pairs(v: np.ndarray, allowed: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (left < right) of allowed pairs with cosine >= link."""
     u = unit(v)
     near = u @ u.T
     left, right = np.nonzero(np.triu((near >= link - EDGE) & allowed, 1))
@@ -364,8 +378,11 @@ def linked_pairs(v: np.ndarray, cells: np.ndarray, cell: int, allowed: np.ndarra
         keep = np.ones(len(left), dtype=bool)
         keep[unsure] = exact
         left, right = left[keep], right[keep]
-    if not len(left):
-        return left, right
+    return left, right
+
+
+def first_met(left: np.ndarray, right: np.ndarray, cells: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose smallest common cell is this one."""
     used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
     earlier = cells[used]
     earlier = np.where(earlier < cell, earlier, cell)
@@ -391,9 +408,11 @@ def _links(link: float):
                 order = first + np.argsort(entries[first:end])
                 for at, v in _by_width(packed.take(pa.array(order)).to_pylist()):
                     rows = order[at]
-                    held = np.array([np.frombuffer(c, dtype="<i8") for c in cells.take(pa.array(rows)).to_pylist()])
                     allowed = np.ones((len(v), len(v)), dtype=bool) if one[first] else chunks[rows][:, None] != chunks[rows][None, :]
-                    left, right = linked_pairs(v, held, int(codes[first]), allowed, link)
+                    left, right = linked_pairs(v, allowed, link)
+                    if len(left):
+                        held = np.array([np.frombuffer(c, dtype="<i8") for c in cells.take(pa.array(rows)).to_pylist()])
+                        left, right = first_met(left, right, held, int(codes[first]))
                     if not len(left):
                         continue
                     own, many = entries[rows], copies[rows]
