@@ -10,9 +10,12 @@ the start.  States and transitions are made when first needed and kept in one ta
 
 Running it.  Texts become symbols (bytes, word-final bytes apart) with array operations and are cut into chunks of CHUNK
 symbols.  A chunk's state map is known without its entry state but for its head, the symbols up to its first word end:
-behind that the state is the start.  All tails run in lockstep, one table look-up a step; a prefix scan over the chunks
-then composes the maps, which gives every head its entry state (a chunk inside one giant word passes states on), and
-heads run in lockstep too.  Sums of emitted counts are the token counts.
+behind that the state is the start.  All tails run in lockstep, one table look-up a step.  The state maps of heads
+(entry state to exit state and count) are composed along the chunks; only chunks inside one giant word pass states on.
+Of such a map those entries are made that can occur: all chunks of a word run in lockstep from the exit states that their
+predecessors have shown so far.  Words forget where they were cut after a few symbols, so two rounds do as a rule; in
+periodic ones a handful of states comes again and again, so the commonest are run for all chunks, and composing is then
+looking up.  Sums of emitted counts are the token counts.
 
 Words come from the vocabulary's own rules: lower case, NFC, runs of letters, single digits, runs of other signs, English
 contractions; white space is dropped, special strings are one token each.  Character classes are asked from the
@@ -26,6 +29,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter as Tally
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,7 @@ from pyspark.sql.types import LongType
 CHUNK = 1_024
 CHARS_AT_ONCE = 1 << 21
 MOST_STATES = 200_000
+COMMON_STATES = 16
 LIMIT = 2_048
 WORD_END = "</w>"
 NEVER = float("inf")
@@ -162,6 +167,8 @@ class Transducer:
                 reached = (token, count + 1)
         if reached is None:
             raise ValueError("no token ends here; the vocabulary has no single bytes")
+        if reached[1] > 255:
+            raise ValueError("a transition would emit more tokens than its table cell holds")
         if symbol >= 256:
             return START * 256 + reached[1]
         grown.append((0, reached[0], reached[1]))
@@ -312,17 +319,47 @@ class Counter:
         at_start = np.zeros(len(owner), dtype=np.int64)
         exits, tail_counts = machine.run(columns, tail, end - tail, at_start)
         np.add.at(counts, owner, tail_counts)
-        # Prefix scan: how many chunks back the last known state lies; a chunk in that distance is composed in that round.
-        last = np.maximum.accumulate(np.where(resets, np.arange(len(owner)), 0))
-        behind = np.where(begins, -1, np.arange(len(owner)) - 1 - np.r_[0, last[:-1]])
-        for distance in range(int(behind.max(initial=-1)) + 1):
-            now = np.flatnonzero(behind == distance)
-            states, head_counts = machine.run(columns, start[now], tail[now] - start[now], exits[now - 1])
-            np.add.at(counts, owner[now], head_counts)
-            passed = ~resets[now]
-            exits[now[passed]] = states[passed]
+        # Heads whose predecessor ends in a known state, then those inside giant words.
+        heads = np.flatnonzero(~begins)
+        heads = heads[tail[heads] > start[heads]]
+        inner = ~resets[heads - 1]
+        plain = heads[~inner]
+        states, head_counts = machine.run(columns, start[plain], tail[plain] - start[plain], exits[plain - 1])
+        np.add.at(counts, owner[plain], head_counts)
+        passed = ~resets[plain]
+        exits[plain[passed]] = states[passed]
+        giant = heads[inner]
+        np.add.at(counts, owner[giant], self._composed(columns, giant, start[giant], tail[giant] - start[giant], exits))
         return counts
 
+    def _composed(self, columns: np.ndarray, chunks: np.ndarray, starts: np.ndarray, lengths: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        """Emitted counts of heads whose entry state is the exit state of the head before; `exits` has it where known."""
+        linked = np.r_[False, np.diff(chunks) == 1].tolist() if len(chunks) else []
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in linked]
+        counts = np.zeros(len(linked), dtype=np.int64)
+        rounds = 0
+        while True:
+            wanted, after = [], START
+            for k, joined in enumerate(linked):  # compose from the left, on guesses where a map lacks the entry
+                state = after if joined else int(exits[chunks[k] - 1])
+                if state in maps[k]:
+                    after, counts[k] = maps[k][state]
+                else:
+                    wanted.append((k, state))
+                    after = next(reversed(maps[k].values()))[0] if maps[k] else START
+            if not wanted:
+                return counts
+            if rounds > 3:  # not forgetful: run the commonest states for all chunks of such words
+                unsure = {k for k, _ in wanted}
+                seen = Tally(state for k in unsure for state, _ in maps[k].values())
+                wanted += [(k, state) for state, _ in seen.most_common(COMMON_STATES) for k in unsure if state not in maps[k]]
+            pairs = sorted(set(wanted))
+            at = np.array([k for k, _ in pairs], dtype=np.int64)
+            found, emitted = self.transducer.run(columns, starts[at], lengths[at], np.array([e for _, e in pairs], dtype=np.int64))
+            for (k, e), state, n in zip(pairs, found.tolist(), emitted.tolist()):
+                maps[k][e] = state, n
+            rounds += 1
+
 
 _counters: dict[str, Counter] = {}
 

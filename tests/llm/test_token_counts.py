@@ -70,3 +70,30 @@ def test_rows(spark, path):
 
 def test_array_dtype(path):
     assert t.Counter(path).count([]).dtype == np.int64
+
+
+@pytest.mark.parametrize("word", ["a" * 50_000, "abc" * 30_000, "ha" * 20_000 + "h" * 3_001, "thequickbrownfox" * 6_000, "é" * 9_000])
+def test_words_over_many_chunks(vocabulary, word):
+    """State maps composed over chunks inside one word: forgetful words and periodic ones whose states never settle."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = [word, f"some {word} more {word[1:]} text"]
+    want = [len(Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids) for x in texts]
+    assert t.Counter(path).count(texts).tolist() == want
+
+
+def test_a_long_word_takes_time_in_proportion(vocabulary):
+    import random
+    import time
+
+    rng = random.Random(3)
+    counter = t.Counter(vocabulary("word_bpe_49k.json"))
+    unit = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    counter.count([unit])
+    took = []
+    for times in (10, 100):
+        start = time.perf_counter()
+        counter.count([unit * times])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10  # 2 million letters; one after the other they took some 25 microseconds each
