@@ -16,14 +16,16 @@ The dictionary lies beside the blocks, named by its hash.  One short document is
 one frame, without touching its neighbours (`read_document`).
 
 Documents are dealt by ranges of (doc_id, fingerprint of the text), so many rows of one id spread over shards; order
-among rows of equal id is that of the fingerprint.  The dictionary is trained on the first DICT_SAMPLE_CHARS of the
-first DICT_SAMPLE documents that Spark returns (a documented bound; it only affects sizes, never content).
+among rows of equal id is that of the fingerprint.  The dictionary is trained on DICT_SAMPLE_CHARS at most, from anywhere
+in the text, of DICT_SAMPLE documents at most, both chosen by a hash of id and text over the whole table: the same rows
+give the same dictionary however they are stored.  The bounds only affect sizes, never content.
 
 Encoding: the tokenizer cuts text into independent pieces at blanks between two other characters, so each worker asks
-the library for a distinct piece once and looks it up afterwards (a bounded cache).  Texts with a special string are
-encoded whole.
+the library for a distinct piece once and looks it up afterwards (a cache bounded in pieces and in bytes).  New pieces
+are asked as one text, whose ids are dealt out by the bytes they stand for.  Texts with a special string are encoded
+whole.
 
-Defined results: null text is empty; an empty document has the end id alone; rows without doc_id come first; repeated
+Defined results: null text is empty; an empty document has the end id alone; rows without doc_id come first; ids are longs; repeated
 rows are repeated; an empty table gives an empty file.
 """
 
@@ -42,15 +44,16 @@ from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from linderos.llm.common import fingerprint, fresh_path
+from linderos.llm.common import fingerprint, fresh_path, smallest_keys
 
 END_ID = 0
 DICT_BYTES = 112_640
 DICT_SAMPLE = 1_000
 DICT_SAMPLE_CHARS = 8_192
-LEVEL = 1
+LEVEL = 3
 BLOCK_TOKENS = 1 << 20
-CACHE_PIECES = 1_500_000
+CACHE_PIECES, CACHE_BYTES = 1_500_000, 96 << 20  # with what Python adds, some 300 MB
+LONGEST_KEPT = 256
 ASKED_AT_ONCE = 4_000
 ENCODED_AT_ONCE = 500
 
@@ -73,22 +76,44 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Bytes that each id stands for: a byte-level vocabulary writes one letter a byte.
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, token in names.items():
+            self.sizes[token] = len(name)
         self.pieces: dict[str, bytes] = {}  # a piece between two blanks, encoded with the blank before it
+        self.kept_bytes = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _dealt(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a blank before it; none ends in white space, so they are encoded as one text."""
+        (encoded,) = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
+        ids = np.array(encoded.ids, dtype="<u4")
+        ends = np.cumsum([1 + len(p.encode()) for p in pieces])
+        reached = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(reached, ends)
+        if len(reached) <= last[-1] or (reached[last] != ends).any():
+            return self._whole([" " + p for p in pieces])
+        raw, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, pieces: set[str]) -> None:
-        asked = list(pieces)
+        asked = [p for p in pieces if not p[-1].isspace()]
         for i in range(0, len(asked), ASKED_AT_ONCE):
             some = asked[i:i + ASKED_AT_ONCE]
-            self.pieces.update(zip(some, self._whole([" " + p for p in some])))
+            self.pieces.update(zip(some, self._dealt(some)))
+        loose = [p for p in pieces if p[-1].isspace()]
+        self.pieces.update(zip(loose, self._whole([" " + p for p in loose])))
+        self.kept_bytes += sum(map(len, pieces)) + sum(len(self.pieces[p]) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > CACHE_PIECES or self.kept_bytes > CACHE_BYTES:
             self.pieces.clear()
+            self.kept_bytes = 0
         out: list[bytes] = [b""] * len(texts)
         alone = [i for i, text in enumerate(texts) if any(s in text for s in self.specials)]
         for i, ids in zip(alone, self._whole([texts[i] for i in alone])):
@@ -119,6 +144,9 @@ class PieceEncoder:
             if None in ids:
                 ids = [get(p) if known is None else known for p, known in zip(cut[i], ids)]
             out[i] = first + b"".join(ids)
+        for p in new:
+            if len(p) > LONGEST_KEPT:  # a line without blanks will hardly come again
+                self.kept_bytes -= len(p) + len(self.pieces.pop(p))
         return out
 
 
@@ -138,7 +166,10 @@ def dict_hash(dictionary: bytes) -> str:
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialized ids of a bounded sample; empty where there is too little to train on."""
-    rows = docs.select(F.substring("text", 1, DICT_SAMPLE_CHARS).alias("text")).limit(DICT_SAMPLE).collect()
+    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    spare = F.greatest(F.length("text") - DICT_SAMPLE_CHARS, F.lit(0)) + 1
+    cut = F.substring("text", F.pmod("key", spare).cast("int") + 1, F.lit(DICT_SAMPLE_CHARS))
+    rows = smallest_keys(keyed, DICT_SAMPLE).select("key", cut.alias("text")).orderBy("key").collect()
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     samples = [ids + end for ids in encoder(path).encode([r["text"] or "" for r in rows])]
     try:
@@ -187,7 +218,7 @@ def write_blocks(dictionary: bytes, path: str) -> Callable[[Iterator[pd.DataFram
                 encoded = encoder(path).encode([t or "" for t in some["text"]])
                 for doc_id, ids in zip(some["doc_id"], encoded):
                     ids += end
-                    block.add(None if pd.isna(doc_id) else int(doc_id), len(ids) // 4, compressor.compress(ids))
+                    block.add(doc_id if doc_id is None else int(doc_id), len(ids) // 4, compressor.compress(ids))
                     tokens += len(ids) // 4
                     if tokens >= BLOCK_TOKENS:
                         full.append(block.row(shard, number, done, name))
@@ -211,7 +242,7 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, folder: str | None =
     order = [F.asc_nulls_first("doc_id"), F.asc("print")]
     keyed = docs.withColumn("print", fingerprint(F.col("text")))
     dealt = keyed.repartitionByRange(shards, *order) if shards else keyed.repartitionByRange(*order)
-    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    ordered = dealt.sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text", F.spark_partition_id().alias("shard"))
     blocks = ordered.mapInPandas(write_blocks(dictionary, tokenizer_path), BLOCK_SCHEMA)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return folder
@@ -265,13 +296,14 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 if r.dict_hash != name:
                     raise ValueError("a block needs another dictionary")
                 rows, start = [], r.start
-                ids = [None if pd.isna(d) else int(d) for d in r.doc_ids]
-                for doc_id, count, raw in frames(ids, r.counts, r.offsets, r.payload, decompressor):
+                for doc_id, count, raw in frames(r.doc_ids, r.counts, r.offsets, r.payload, decompressor):
                     rows.append((doc_id, start, count, zlib.crc32(raw)))
                     start += count
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return located_blocks(spark, folder).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    blocks = located_blocks(spark, folder).withColumn("doc_ids", F.transform("doc_ids", lambda d: d.cast("string")))
+    found = blocks.mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
