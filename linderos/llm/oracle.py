@@ -47,4 +47,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, C
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLES = {"op1_chat_formatting": OP1, "op3_benchmark_decontamination": OP3}
+OP12 = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM usable a, usable b
+    WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 ELSE FALSE END
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), counted AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+), least AS (
+    SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counted c ON c.x = vec_id JOIN least l ON l.x = vec_id
+"""
+
+ORACLES = {"op1_chat_formatting": OP1, "op3_benchmark_decontamination": OP3, "op12_embedding_near_dedup": OP12}
