@@ -94,9 +94,13 @@ def smallest_keys(keyed: DataFrame, count: int, key: str = "key") -> DataFrame:
 
     The keys alone are ordered; rows are then picked by the largest of them, so no task gets other rows' texts.
     """
+    return keyed.where(F.col(key) <= F.lit(largest_of_smallest(keyed, count, key)).cast("long")).dropDuplicates([key])
+
+
+def largest_of_smallest(keyed: DataFrame, count: int, key: str = "key") -> int | None:
+    """The largest of the `count` smallest distinct keys; only the keys are read."""
     found = keyed.select(key).distinct().orderBy(key).limit(count).collect()
-    last = found[-1][0] if found else None
-    return keyed.where(F.col(key) <= F.lit(last).cast("long")).dropDuplicates([key])
+    return found[-1][0] if found else None
 
 
 def fingerprint(text: Column) -> Column:

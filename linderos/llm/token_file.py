@@ -17,13 +17,12 @@ one frame, without touching its neighbours (`read_document`).
 
 Documents are dealt by ranges of (doc_id, fingerprint of the text), so many rows of one id spread over shards; order
 among rows of equal id is that of the fingerprint.  The dictionary is trained on DICT_SAMPLE_CHARS at most, from anywhere
-in the text, of DICT_SAMPLE documents at most, both chosen by a hash of id and text over the whole table: the same rows
-give the same dictionary however they are stored.  The bounds only affect sizes, never content.
+in the text, of DICT_SAMPLE documents at most, chosen by a hash of the id over the whole table (of rows with one id by a
+hash of the text): the same rows give the same dictionary however they are stored.  The bounds only affect sizes, never content.
 
-Encoding: the tokenizer cuts text into independent pieces at blanks between two other characters, so each worker asks
-the library for a distinct piece once and looks it up afterwards (a cache bounded in pieces and in bytes).  New pieces
-are asked as one text, whose ids are dealt out by the bytes they stand for.  Texts with a special string are encoded
-whole.
+Encoding: the tokenizer cuts text into independent pieces at blanks (`cut_text`), so each worker asks the library for a
+distinct piece once and looks it up afterwards (a cache bounded in pieces and in bytes).  New pieces are asked as one
+text, whose ids are dealt out by the bytes they stand for.  Texts with a special string are encoded whole.
 
 Defined results: null text is empty; an empty document has the end id alone; rows without doc_id come first; ids are longs; repeated
 rows are repeated; an empty table gives an empty file.
@@ -32,9 +31,11 @@ rows are repeated; an empty table gives an empty file.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from linderos.llm.common import fingerprint, fresh_path, smallest_keys
+from linderos.llm.common import fingerprint, fresh_path, largest_of_smallest
 
 END_ID = 0
 DICT_BYTES = 112_640
@@ -54,6 +55,8 @@ LEVEL = 3
 BLOCK_TOKENS = 1 << 20
 CACHE_PIECES, CACHE_BYTES = 1_500_000, 96 << 20  # with what Python adds, some 300 MB
 LONGEST_KEPT = 256
+MARKS = ".,;:!?"
+LATIN_END = "\u0250"  # below it, letters are the same to Python and to the tokenizer
 ASKED_AT_ONCE = 4_000
 ENCODED_AT_ONCE = 500
 
@@ -66,6 +69,23 @@ BLOCK_SCHEMA = StructType([
 ])
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_BETWEEN = re.compile(r"\s \s")
+# Blanks between two of the usual white-space characters.
+_USUAL_BETWEEN = [f"{a} {b}" for a in " \n\t" for b in " \n\t"]
+
+
+def cut_text(text: str) -> list[str]:
+    """The text cut at its blanks; the pieces but the first, each with a blank before it, are encoded as in the text.
+
+    The tokenizer begins a new part where white space begins, and at the last blank before another character.  So every
+    blank is a place to cut unless white space is on both sides of it; a text with such blanks is cut at those between
+    two other characters only.
+    """
+    if text.replace("\n", "").replace("\t", "").isprintable():  # no other white space
+        whole = not any(p in text for p in _USUAL_BETWEEN)
+    else:
+        whole = _BETWEEN.search(text) is None
+    return text.split(" ") if whole else _CUT.split(text)
 
 
 class PieceEncoder:
@@ -74,6 +94,7 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would spin
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Bytes that each id stands for: a byte-level vocabulary writes one letter a byte.
@@ -82,7 +103,9 @@ class PieceEncoder:
         for name, token in names.items():
             self.sizes[token] = len(name)
         self.pieces: dict[str, bytes] = {}  # a piece between two blanks, encoded with the blank before it
+        self.firsts: dict[str, bytes] = {}  # a first piece, without a blank
         self.kept_bytes = 0
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -98,55 +121,63 @@ class PieceEncoder:
         if len(reached) <= last[-1] or (reached[last] != ends).any():
             return self._whole([" " + p for p in pieces])
         raw, cuts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+        self.kept_bytes += len(raw) + int(ends[-1])
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, pieces: set[str]) -> None:
-        asked = [p for p in pieces if not p[-1].isspace()]
-        for i in range(0, len(asked), ASKED_AT_ONCE):
-            some = asked[i:i + ASKED_AT_ONCE]
+        """A word and a mark behind it are two parts to the tokenizer, so only the word is asked."""
+        asked, marked, alone = set(), [], []
+        for p in pieces:
+            if not p or p[0].isspace() or p[-1].isspace():
+                alone.append(p)
+            elif p[-1] in MARKS and p[:-1].isalpha() and max(p) < LATIN_END:
+                marked.append(p)
+                if p[:-1] not in self.pieces:
+                    asked.add(p[:-1])
+            else:
+                asked.add(p)
+        listed = list(asked)
+        for i in range(0, len(listed), ASKED_AT_ONCE):
+            some = listed[i:i + ASKED_AT_ONCE]
             self.pieces.update(zip(some, self._dealt(some)))
-        loose = [p for p in pieces if p[-1].isspace()]
-        self.pieces.update(zip(loose, self._whole([" " + p for p in loose])))
-        self.kept_bytes += sum(map(len, pieces)) + sum(len(self.pieces[p]) for p in pieces)
+        known, ends = self.pieces, self.marks
+        known.update([(p, known[p[:-1]] + ends[p[-1]]) for p in marked])
+        known.update(zip(alone, self._whole([" " + p for p in alone])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.pieces) > CACHE_PIECES or self.kept_bytes > CACHE_BYTES:
             self.pieces.clear()
+            self.firsts.clear()
             self.kept_bytes = 0
         out: list[bytes] = [b""] * len(texts)
-        alone = [i for i, text in enumerate(texts) if any(s in text for s in self.specials)]
+        special = [any(s in text for s in self.specials) for text in texts]
+        alone = list(compress(range(len(texts)), special))
         for i, ids in zip(alone, self._whole([texts[i] for i in alone])):
             out[i] = ids
-        usual = [i for i, text in enumerate(texts) if text and not any(s in text for s in self.specials)]
+        usual = [i for i, (text, whole) in enumerate(zip(texts, special)) if text and not whole]
         cut, found, new = {}, {}, set()
+        get = self.pieces.get
         for i in usual:
-            pieces = texts[i].split(" ")
-            ids = list(map(self.pieces.get, pieces))
+            cut[i] = pieces = cut_text(texts[i])
+            ids = list(map(get, pieces))
             ids[0] = b""  # the first piece has no blank before it
             if None in ids:
-                missing = {p for p, known in zip(pieces, ids) if known is None}
-                if any(not p or p[0].isspace() or p[-1].isspace() for p in (*missing, pieces[0])):
-                    # White space beside a blank: cut between two other characters only.  Such pieces are never learnt.
-                    pieces = _CUT.split(texts[i])
-                    missing = set(pieces[1:])
-                    ids = [b"", *map(self.pieces.get, pieces[1:])]
-                new |= {p for p in missing if p not in self.pieces}
-            elif pieces[0] == "" or pieces[0][-1].isspace():
-                pieces = _CUT.split(texts[i])
-                new.update(p for p in pieces[1:] if p not in self.pieces)
-                ids = [b"", *map(self.pieces.get, pieces[1:])]
-            cut[i], found[i] = pieces, ids
+                new.update(compress(pieces, [known is None for known in ids]))
+            found[i] = ids
         self._learn(new)
-        get = self.pieces.__getitem__
-        for i, first in zip(usual, self._whole([cut[i][0] for i in usual])):
-            ids = found[i]
+        known = self.pieces.__getitem__
+        opening = list({cut[i][0] for i in usual}.difference(self.firsts))
+        self.firsts.update(zip(opening, self._whole(opening)))
+        self.kept_bytes += sum(map(len, opening))
+        for i in usual:
+            first, ids = self.firsts[cut[i][0]], found[i]
             if None in ids:
-                ids = [get(p) if known is None else known for p, known in zip(cut[i], ids)]
+                ids = [known(p) if own is None else own for p, own in zip(cut[i], ids)]
             out[i] = first + b"".join(ids)
-        for p in new:
-            if len(p) > LONGEST_KEPT:  # a line without blanks will hardly come again
-                self.kept_bytes -= len(p) + len(self.pieces.pop(p))
+        for kept, some in ((self.pieces, new), (self.firsts, opening)):
+            for p in [p for p in some if len(p) > LONGEST_KEPT]:
+                del kept[p]  # a line without blanks will hardly come again
         return out
 
 
@@ -166,10 +197,12 @@ def dict_hash(dictionary: bytes) -> str:
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialized ids of a bounded sample; empty where there is too little to train on."""
-    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("key"), "text")
+    last = F.lit(largest_of_smallest(keyed, DICT_SAMPLE)).cast("long")
     spare = F.greatest(F.length("text") - DICT_SAMPLE_CHARS, F.lit(0)) + 1
     cut = F.substring("text", F.pmod("key", spare).cast("int") + 1, F.lit(DICT_SAMPLE_CHARS))
-    rows = smallest_keys(keyed, DICT_SAMPLE).select("key", cut.alias("text")).orderBy("key").collect()
+    some = keyed.where((F.col("key") <= last) & F.col("text").isNotNull()).select("key", F.struct(F.xxhash64("text").alias("h"), cut.alias("text")).alias("s"))
+    rows = some.groupBy("key").agg(F.min("s").alias("s")).select("key", "s.text").orderBy("key").collect()
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     samples = [ids + end for ids in encoder(path).encode([r["text"] or "" for r in rows])]
     try:
