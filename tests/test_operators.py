@@ -159,3 +159,15 @@ def test_polygon_area_of_wild_coordinates(spark):
     rows = [(1, 0, 0, 0.0, 0.0), (1, 0, 1, 1e15, 0.0), (1, 0, 2, 1e15, 1e15), (1, 0, 3, 0.0, 1e15), (2, 0, 0, 5.0, 5.0), (3, 0, 0, 1.0, None), (3, 0, 1, 2.0, 1.0)]
     found = dict(tuple(r) for r in polygon_area(spark.createDataFrame(rows, "uc_id long, ring int, seq int, x double, y double")).collect())
     assert found[1] == 1e30 and found[2] == 0.0 and set(found) == {1, 2, 3}
+
+
+def test_cells_are_not_merged_by_their_bytes(spark, many):
+    """AQE sees small inputs; the pairs are spread all the same."""
+    from linderos.operators.skew import CELL_SPREAD
+
+    left, right = spark.range(300).select(F.lit(1).alias("a"), F.col("id").alias("i")), spark.range(300).select(F.lit(1).alias("b"), F.col("id").alias("j"))
+    pairs = grid_join(left, right, ("a", "b"), ("i", "j"), grid_sizes(left, right, ("a", "b"), 20))
+    assert pairs.count() == 90_000
+    assert pairs.rdd.getNumPartitions() == CELL_SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    busy = pairs.groupBy(F.spark_partition_id().alias("p")).count()
+    assert busy.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
