@@ -390,3 +390,18 @@ def test_parameters_are_bound_as_values(spark, tables):
     rules = [Rule(id="X-1", descripcion="", categoria="u", sql=sql, parametros={"texto": odd, "n": 3, "unused": None})]
     summary = run_rules(given, rules=rules)
     assert [(r.t_id, r.valor_actual, r.valor_esperado) for r in summary.violaciones.collect()] == [(1, odd, "3")]
+
+
+def test_parts_are_written_from_small_partitions(spark, tmp_path, monkeypatch):
+    """A task that sorts or groups shuffled rows holds far more than their compressed bytes."""
+    from linderos import session
+
+    key, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        with session.configured(spark):
+            seen.append(spark.conf.get(key))
+        assert seen == ["16m"]
+    finally:
+        spark.conf.set(key, before)
