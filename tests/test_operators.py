@@ -10,7 +10,7 @@ from conftest import bag
 from linderos.operators.areas import polygon_area
 from linderos.operators.parties import same_name_diff_id
 from linderos.operators.relations import exists_in, unique
-from linderos.operators.skew import attach_many, grid_join, grid_sizes, join_many, repeat_rows
+from linderos.operators.skew import attach_many, grid_join, grid_sizes, half_grid_join, join_many, repeat_rows
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +171,15 @@ def test_cells_are_not_merged_by_their_bytes(spark, many):
     assert pairs.rdd.getNumPartitions() == CELL_SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     busy = pairs.groupBy(F.spark_partition_id().alias("p")).count()
     assert busy.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("slots", [1, 4])
+def test_half_grid_builds_a_pair_once(spark, slots):
+    rows = [(i % 25 if i % 11 else None, "nkm"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    sizes = spark.createDataFrame([("n", slots, True), ("m", slots, False)], "_key string, _rows int, _same boolean")
+    built = half_grid_join(df.toDF("x", "xk"), df.toDF("y", "yk"), ("xk", "yk"), ("x", "y"), sizes).select("x", "y", "xk")
+    got = [tuple(r) for r in built.collect()]
+    want = [(a, b, k) for (a, k), (b, other) in itertools.product(rows, rows) if k == other != "k" and a is not None and b is not None and a < b]
+    assert bag((min(a, b), max(a, b), k) for a, b, k in got) == bag(want)
+    assert all(a < b for a, b, k in got if k == "m")
